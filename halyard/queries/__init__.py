@@ -1,13 +1,10 @@
-"""Registered queries and their DuckDB twins."""
+"""Registered queries by operator, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from halyard.queries import analytics, facts, search, statistics
+from halyard.queries.registry import ORACLES, QUERIES
 
+entry_query = analytics.entry_query
 
-def entry_query(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_shipdate <= timestamp '1998-09-02'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"))
+__all__ = ["ORACLES", "QUERIES", "entry_query", "analytics", "facts", "search", "statistics"]

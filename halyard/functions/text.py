@@ -247,7 +247,7 @@ def shown(c: Column, kind: str) -> Column:
     """A value as labels and CSV cells show it."""
     if kind in ("double", "float") or kind.startswith("decimal"):
         d = c.cast("double")
-        return F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(F.format_string("%.2f", d))
+        return F.when(d == F.floor(d), F.floor(d).cast("string")).when(d.isNotNull(), F.format_string("%.2f", d))
     return c.cast("string")
 
 

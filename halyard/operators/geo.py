@@ -51,10 +51,11 @@ def distance_join(a: DataFrame, b: DataFrame, radius_m: float, key_a: str = "id"
     latitude, so that a point only meets its own and the neighbouring cells. Longitudes wrap.
     """
     step = radius_m / RADIUS_M * 57.29577951308232 * 1.0001
-    wide = lambda row: F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)), F.lit(89.9)))), F.lit(1e-3))
+    wide = lambda row: F.cos(F.radians(F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)), F.lit(90.0))))
 
     def columns_of(row):
-        return F.greatest(F.floor(360 / (F.lit(step) / wide(row))), F.lit(1))
+        # a circle is up to pi / 2 times wider in longitude than its radius over the cosine; about a pole three columns are all
+        return F.greatest(F.floor(360 * wide(row) / (1.6 * step)), F.lit(1))
 
     def col_of(lon, row):
         return F.pmod(F.floor((lon + 180) / 360 * columns_of(row)), columns_of(row))

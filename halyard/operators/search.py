@@ -7,11 +7,14 @@ lexicon, and only the terms that match meet their documents.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from halyard.functions.text import edit_distance, fold_search, ngrams_2_3, overlap_ratio, phonetic, metaphone, py_code, py_metaphone, py_ngrams, py_phonetic, py_tokens_search, tokens_search, trigrams
+from halyard.functions.text import edit_distance, fold_search, metaphone, ngrams_2_3, osa, overlap_ratio, phonetic, py_code, py_fold, py_metaphone, py_ngrams, py_phonetic, py_tokens_search, py_trigrams, tokens_search, trigrams
 from halyard.functions.vectors import literal, similarity
 
 BOOSTS = {"code": 5.0, "title": 3.5, "description": 1.0}
@@ -137,12 +140,6 @@ def sounds(text: Column) -> Column:
 
 def rank_candidates(docs: DataFrame, text_col: str, term: str, most: int = 2, least: float = 0.25) -> DataFrame:
     """(doc_id, score): substring, trigram, code, sound and edit-distance scores added up; at least ``least``."""
-    import re
-
-    import pandas as pd
-
-    from halyard.functions.text import osa, py_fold, py_trigrams
-
     low, code = py_fold(term.strip()), py_code(term)
     grams, sound = py_trigrams(term), py_phonetic(low)
     toks = [t for t in re.split(r"[\W_]+", low) if t]

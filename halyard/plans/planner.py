@@ -23,7 +23,7 @@ from halyard.operators.relations import nest, parse_select, semi_join_filter, wi
 from halyard.plans.formula import compile_formula
 from halyard.plans.metrics import metric_column
 from halyard.plans.model import EntityModel, Registry, column, resolve
-from halyard.plans.predicates import NUMERIC, TIMES, compile_filter, fields_of, normalise, same_kind
+from halyard.plans.predicates import NUMERIC, TIMES, compile_filter, fields_of, known, normalise, same_kind
 from halyard.plans.request import Dimension, Metric, Page, Request, Security, check_request, parse_request
 from halyard.plans.timeframe import Range, compare_range
 
@@ -230,18 +230,18 @@ def row_security(df: DataFrame, model: EntityModel, s: Security) -> Column:
     if model.tenant:
         if s.tenant is None:
             raise PermissionError(f"{model.name} needs a tenant")
-        out = out & F.coalesce(F.col(f"`{model.tenant}`") == F.lit(s.tenant), F.lit(False))
+        out = known(F.col(f"`{model.tenant}`"), F.col(f"`{model.tenant}`") == F.lit(s.tenant))
     scopes = {x.upper() for x in s.scopes}
-    own = F.coalesce(F.col(f"`{model.owner}`") == F.lit(s.user), F.lit(False)) if model.owner else F.lit(False)
+    own = known(F.col(f"`{model.owner}`"), F.col(f"`{model.owner}`") == F.lit(s.user)) if model.owner else F.lit(False)
     if model.assignees and isinstance(df.schema[model.assignees].dataType, T.ArrayType):
         assigned = F.coalesce(F.array_contains(model.assignees, F.lit(s.user)), F.lit(False))
     else:
-        assigned = F.coalesce(F.col(f"`{model.assignees}`") == F.lit(s.user), F.lit(False)) if model.assignees else F.lit(False)
+        assigned = known(F.col(f"`{model.assignees}`"), F.col(f"`{model.assignees}`") == F.lit(s.user)) if model.assignees else F.lit(False)
     if "ALL" not in scopes:
         seen = {"OWN": own, "ASSIGNED": assigned, "OWN_OR_ASSIGNED": own | assigned}
         out = out & reduce(lambda a, b: a | b, [seen[x] for x in sorted(scopes) if x in seen], F.lit(False))
     if s.locations and model.location:
-        out = out & F.coalesce(F.col(f"`{model.location}`").isin(list(s.locations)), F.lit(False))
+        out = out & known(F.col(f"`{model.location}`"), F.col(f"`{model.location}`").isin(list(s.locations)))
     return out
 
 
@@ -249,7 +249,7 @@ def _within(df: DataFrame, time: str, r: Range) -> Column:
     """Inclusive at both ends; a row without a time lies nowhere."""
     kind = df.schema[resolve(df, time)].dataType
     lo, hi = (same_kind(kind, t) for t in r)
-    return F.coalesce(column(df, time).between(lo, hi), F.lit(False))
+    return known(column(df, time), column(df, time).between(lo, hi))
 
 
 def _is_number(df: DataFrame, name: str) -> bool:

@@ -2,6 +2,7 @@
 
 What a missing value gives is fixed per operator (SQL would give null):
 comparisons, BETWEEN, LIKE and CONTAINS are false, NEQ and NOT_IN are true.
+They say so as ``is not null and ...``, which the Parquet scan can take.
 """
 
 from __future__ import annotations
@@ -58,15 +59,25 @@ def same_kind(kind: T.DataType, value: Any) -> Column | None:
 
 def _eq(c, kind, v):
     x = same_kind(kind, v)
-    return F.lit(False) if x is None else F.coalesce(c == x, F.lit(False))
+    return F.lit(False) if x is None else known(c, c == x)
+
+
+def known(c: Column, condition: Column) -> Column:
+    """The condition, false where the column is missing."""
+    return c.isNotNull() & condition
+
+
+def _neq(c, kind, v):
+    x = same_kind(kind, v)
+    return F.lit(True) if x is None else c.isNull() | (c != x)
 
 
 def _ordered(op: Callable[[Column, Column], Column]):
     def build(c, kind, v):
         if isinstance(kind, TIMES):
-            return F.coalesce(op(c, time_literal(v, kind)), F.lit(False))
+            return known(c, op(c, time_literal(v, kind)))
         if isinstance(kind, NUMERIC) and isinstance(v, (int, float)) and not isinstance(v, bool):
-            return F.coalesce(op(c, F.lit(v)), F.lit(False))
+            return known(c, op(c, F.lit(v)))
         return F.lit(False)
     return build
 
@@ -81,8 +92,9 @@ def _as_text(c, kind):
 
 def _in(c, kind, v):
     if isinstance(kind, NUMERIC) and isinstance(v, (list, tuple)) and all(isinstance(x, (int, float)) for x in v):
-        return F.coalesce(c.isin(list(v)), F.lit(False))
-    return F.coalesce(_as_text(c, kind), F.lit("")).isin(_strings(v))
+        return known(c, c.isin(list(v)))
+    c, wanted = _as_text(c, kind), _strings(v)
+    return known(c, c.isin(wanted)) if "" not in wanted else c.isNull() | c.isin(wanted)
 
 
 def _not_in(c, kind, v):
@@ -94,11 +106,11 @@ def _not_in(c, kind, v):
 def _between(c, kind, v):
     lo, hi = v
     if isinstance(kind, TIMES):
-        return F.coalesce(c.between(time_literal(lo, kind), time_literal(hi, kind)), F.lit(False))
+        return known(c, c.between(time_literal(lo, kind), time_literal(hi, kind)))
     if isinstance(kind, NUMERIC) and not isinstance(lo, str):
-        return F.coalesce(c.between(F.lit(lo), F.lit(hi)), F.lit(False))
+        return known(c, c.between(F.lit(lo), F.lit(hi)))
     if isinstance(kind, T.StringType):
-        return F.coalesce(c.between(F.lit(str(lo)), F.lit(str(hi))), F.lit(False))
+        return known(c, c.between(F.lit(str(lo)), F.lit(str(hi))))
     return F.lit(False)
 
 
@@ -120,7 +132,7 @@ def _contains(c, kind, v):
 
 
 OPERATORS: dict[str, Callable[[Column, T.DataType, Any], Column]] = {
-    "EQ": _eq, "NEQ": lambda c, k, v: ~_eq(c, k, v),
+    "EQ": _eq, "NEQ": _neq,
     "GT": _ordered(lambda a, b: a > b), "GTE": _ordered(lambda a, b: a >= b), "LT": _ordered(lambda a, b: a < b), "LTE": _ordered(lambda a, b: a <= b),
     "IN": _in, "NOT_IN": _not_in, "BETWEEN": _between, "LIKE": _like, "CONTAINS": _contains,
     "MATCHES": lambda c, k, v: fuzzy_match(_as_text(c, k), v),

@@ -268,7 +268,7 @@ def multi_series(spark, sf_dir):
 
 @query()
 def search_fuzzy(spark, sf_dir):
-    return engine(spark, sf_dir).run({"entity": "customer", "search": "Custmoer 17", "select": ["c_custkey", "c_name"]}).whole
+    return engine(spark, sf_dir).run({"entity": "customer", "search": "Custmoer#000000017", "select": ["c_custkey", "c_name"]}).whole
 
 
 @query("SELECT user_id, sum((props::JSON ->> '$.k')::INT)::BIGINT AS k FROM events GROUP BY 1")

@@ -27,3 +27,29 @@ def overlay(df: DataFrame, live: DataFrame, key: str, names: list[str]) -> DataF
     fresh = live.select(F.col(key).alias("__key"), *(F.col(n).alias(f"__{n}") for n in names))
     joined = df.join(fresh, df[key] == F.col("__key"), "left")
     return joined.select(*(F.coalesce(f"__{c}", f"`{c}`").alias(c) if c in names else F.col(f"`{c}`") for c in df.columns))
+
+
+def same_rows(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Set operations by column name: union (distinct), union_all, intersect, except."""
+    b = b.select(*a.columns)
+    if how == "union_all":
+        return a.unionByName(b)
+    if how == "union":
+        return a.unionByName(b).distinct()
+    if how == "intersect":
+        return a.intersect(b)
+    if how == "except":
+        return a.subtract(b)
+    raise ValueError(f"unknown set operation {how!r}")
+
+
+def row_bitmaps(df: DataFrame, id_col: str, by: list[str]) -> DataFrame:
+    """(by, bucket, bits): bitmaps of row ids, to be combined by ``bitmap_or_agg``."""
+    i = F.col(id_col).cast("long")
+    return df.groupBy(*by, F.bitmap_bucket_number(i).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(i)).alias("bits"))
+
+
+def bitmap_cardinality(bitmaps: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct ids of merged bitmaps."""
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias("n"))

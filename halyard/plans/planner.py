@@ -8,9 +8,11 @@ conditional aggregates of the same scan.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -51,6 +53,7 @@ class Engine:
         self.now = now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
         #: Hooks that replace or add columns before anything else reads a row.
         self.overlays: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        self._cache: dict[str, DataFrame] = {}
 
     def table(self, entity: str, security: Security = Security()) -> DataFrame:
         """The rows of an entity that the caller may see, without sensitive columns."""
@@ -69,6 +72,7 @@ class Engine:
         if r.entity_id is not None:
             df = df.where(column(df, model.key) == F.lit(r.entity_id))
         df = self._filtered(df, r, model, security)
+        df, r = self._labelled(df, r, model, security)
         current = r.time_frame.resolve(self.now)
         if r.output == "KPI":
             whole = self._kpi(self._measured(df, r), r, model, current)
@@ -87,6 +91,20 @@ class Engine:
         with ThreadPoolExecutor(threads) as pool:
             return dict(zip(results, pool.map(lambda x: x.rows.collect(), results.values()), strict=True))
 
+    def cached(self, request: Request | dict, security: Security = Security()) -> DataFrame:
+        """The page of a request, kept in Spark's cache under its canonical form, its caller and the resolved time window."""
+        r = parse_request(request) if isinstance(request, dict) else request
+        key = json.dumps([asdict(r), asdict(security), r.time_frame.resolve(self.now), self.load(self.registry.model(r.entity).table or r.entity).schema.json()], sort_keys=True, default=str)
+        if key not in self._cache:
+            self._cache[key] = self.run(r, security).rows.cache()
+        return self._cache[key]
+
+    def forget(self) -> None:
+        """Drops what ``cached`` keeps, as after a write."""
+        for df in self._cache.values():
+            df.unpersist()
+        self._cache.clear()
+
     def explain(self, request: Request | dict, security: Security = Security()) -> str:
         return self.run(request, security).rows._jdf.queryExecution().toString()
 
@@ -127,6 +145,25 @@ class Engine:
                 df = df.where(compile_filter(df, child))
         return df
 
+    def _labelled(self, df: DataFrame, r: Request, model: EntityModel, security: Security) -> tuple[DataFrame, Request]:
+        """Label templates that name attributes of a reference join them; the template then names the joined columns."""
+        dims = []
+        for d in r.dimensions:
+            text = d.label_template or ""
+            for path in sorted(set(re.findall(r"\{\{\s*(\w+\.\w+)\s*\}\}", text))):
+                name, attribute = path.split(".")
+                if name not in df.columns or not any(a.name == name and a.ref for a in model.attributes):
+                    continue
+                target_model = self.registry.model(model[name].ref)
+                joined = f"{name}__{attribute}"
+                if joined not in df.columns:
+                    target = self.table(model[name].ref, security)
+                    near = target.select(F.col(target_model.key).alias("__ref"), column(target, attribute).alias(joined))
+                    df = df.join(near, df[name] == F.col("__ref"), "left").drop("__ref")
+                text = re.sub(r"\{\{\s*" + re.escape(path) + r"\s*\}\}", "{{" + joined + "}}", text)
+            dims.append(replace(d, label_template=text or None))
+        return df, replace(r, dimensions=tuple(dims))
+
     @staticmethod
     def _measured(df: DataFrame, r: Request) -> DataFrame:
         """Measures are columns of rows, so metrics can aggregate them."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.operators.catalog import explore, list_ids, overlay
+from halyard.operators.catalog import bitmap_cardinality, explore, list_ids, overlay, row_bitmaps, same_rows
 from halyard.operators.hierarchy import closure, euler, inherited, interval_join, roll_up, subtree
 from halyard.operators.relations import references_to, route
 from halyard.plans.model import Attribute, EntityModel, Registry
@@ -69,11 +69,11 @@ def scan_reverse_reference(spark, sf_dir):
 # aggregates and output shapes
 
 _F = lambda *pairs: [{"aggregation": a, "attribute": x, **({"name": n} if n else {})} for a, x, n in pairs]
-request("kpi_basic", "SELECT count(l_quantity)::DOUBLE AS count_l_quantity, sum(l_quantity)::DOUBLE AS total, round(avg(l_discount), 9) AS mean_discount, min(l_extendedprice) AS min_l_extendedprice, max(l_extendedprice) AS max_l_extendedprice FROM lineitem",
+request("kpi_basic", "SELECT count(l_quantity)::DOUBLE AS count_l_quantity, sum(l_quantity)::DOUBLE AS total, avg(l_discount) AS mean_discount, min(l_extendedprice) AS min_l_extendedprice, max(l_extendedprice) AS max_l_extendedprice FROM lineitem",
         entity="lineitem", metrics=[*_F(("COUNT", "l_quantity", None), ("SUM", "l_quantity", "total"), ("MIN", "l_extendedprice", None), ("MAX", "l_extendedprice", None)), {"aggregation": "AVG", "attribute": "rounded", "name": "mean_discount"}], measures=[{"name": "rounded", "formula": "l_discount"}])
 request("kpi_count_text", f"SELECT {_N} FROM orders", entity="orders", metrics=[{"aggregation": "COUNT", "attribute": "o_orderstatus", "name": "n"}])
 request("kpi_empty", "SELECT 0.0::DOUBLE AS s, 0.0::DOUBLE AS a, 0.0::DOUBLE AS m, 0.0::DOUBLE AS p, 0.0::DOUBLE AS d", entity="lineitem", filters=[["<", "l_quantity", -1]], metrics=_F(("SUM", "l_quantity", "s"), ("AVG", "l_quantity", "a"), ("MAX", "l_quantity", "m"), ("P95", "l_quantity", "p"), ("STD_DEV", "l_quantity", "d")))
-request("kpi_filtered_metric", "SELECT count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS finished, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS open_total FROM orders", entity="orders",
+request("kpi_filtered_metric", "SELECT count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS finished, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS open_total FROM orders", entity="orders",
         metrics=[{"aggregation": "COUNT", "name": "finished", "filter": ["=", "o_orderstatus", "F"]}, {"aggregation": "SUM", "attribute": "o_totalprice", "name": "open_total", "filter": ["=", "o_orderstatus", "O"]}])
 _RANK = "list_sort(list({x}))[cast(least(floor({p} * count({x})), count({x}) - 1) AS INT) + 1]"
 request("kpi_percentiles", "SELECT " + ", ".join(f"{_RANK.format(x='value', p=p)} AS {n}" for n, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " FROM events", entity="events", metrics=_F(("MEDIAN", "value", "median"), ("P90", "value", "p90"), ("P95", "value", "p95"), ("P99", "value", "p99")))
@@ -82,7 +82,7 @@ request("kpi_stddev_var", "SELECT stddev_samp(l_quantity) AS std_dev_l_quantity,
 request("kpi_corr_slope", "SELECT corr(l_extendedprice, l_quantity) AS r, regr_slope(l_extendedprice, l_quantity) AS slope FROM lineitem", entity="lineitem",
         metrics=[{"aggregation": "CORRELATION", "attribute": "l_extendedprice", "secondary": "l_quantity", "name": "r"}, {"aggregation": "LINEAR_REGRESSION", "attribute": "l_extendedprice", "secondary": "l_quantity", "name": "slope"}])
 request("kpi_count_distinct", "SELECT count(DISTINCT o_custkey)::DOUBLE AS customers, count(DISTINCT o_orderpriority)::DOUBLE AS priorities FROM orders", entity="orders", metrics=_F(("COUNT_DISTINCT", "o_custkey", "customers"), ("COUNT_DISTINCT", "o_orderpriority", "priorities")))
-request("pie_by_dim", f"SELECT c_mktsegment, {_N}, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_mktsegment <> '' GROUP BY c_mktsegment", entity="customer", cast="PIE", dimensions=["c_mktsegment"], metrics=[*_COUNT, *_F(("SUM", "c_acctbal", "balance"))])
+request("pie_by_dim", f"SELECT c_mktsegment, {_N}, sum(c_acctbal) AS balance FROM customer WHERE c_mktsegment <> '' GROUP BY c_mktsegment", entity="customer", cast="PIE", dimensions=["c_mktsegment"], metrics=[*_COUNT, *_F(("SUM", "c_acctbal", "balance"))])
 request("bubble_two_dims", "SELECT o_orderstatus, o_orderpriority, count(*)::DOUBLE AS n, avg(o_totalprice) AS mean FROM orders GROUP BY ALL", entity="orders", cast="BUBBLE", dimensions=["o_orderstatus", "o_orderpriority"], metrics=[*_COUNT, *_F(("AVG", "o_totalprice", "mean"))])
 request("table_groupby", "SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL", entity="lineitem",
         filters=[["<=", "l_shipdate", "1998-09-02"]], dimensions=["l_returnflag", "l_linestatus"], metrics=[*_COUNT, *_F(("SUM", "l_quantity", "sum_qty"), ("AVG", "l_extendedprice", "avg_price"))], sort=[{"field": "l_returnflag"}])
@@ -253,6 +253,29 @@ def redaction(spark, sf_dir):
 request("label_template", "SELECT p_brand || ' / ' || p_size::VARCHAR AS p_brand, count(*)::DOUBLE AS n FROM part GROUP BY 1", entity="part", dimensions=[{"attribute": "p_brand", "label_template": "{{p_brand}} / {{part/p_size}}"}], metrics=_COUNT)
 
 
+request("label_join", "SELECT n_name || ' in ' || r_name AS n_regionkey, count(*)::DOUBLE AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1", entity="nation", dimensions=[{"attribute": "n_regionkey", "label_template": "{{n_name}} in {{n_regionkey.r_name}}"}], metrics=_COUNT)
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def set_operations(spark, sf_dir):
+    o = load_table(spark, sf_dir, "orders")
+    of = lambda c, v: o.where(F.col(c) == v).select("o_custkey")
+    return same_rows(same_rows(of("o_orderstatus", "F"), of("o_orderstatus", "O"), "intersect"), of("o_orderpriority", "1-URGENT"), "except")
+
+
+@query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS n FROM events GROUP BY 1")
+def bitmap_distinct(spark, sf_dir):
+    e = load_table(spark, sf_dir, "events")
+    parts = row_bitmaps(e.where("event_id % 2 = 0"), "user_id", ["event_type"]).unionByName(row_bitmaps(e.where("event_id % 2 = 1"), "user_id", ["event_type"]))
+    return bitmap_cardinality(parts, ["event_type"])
+
+
+@query()
+def metric_logistic(spark, sf_dir):
+    body = {"entity": "orders", "measures": [{"name": "scaled", "formula": "o_totalprice / 100000"}, {"name": "big", "formula": "GREATEST(SIGN(o_totalprice - 150000 + MOD(o_orderkey, 7) * 10000), 0)"}], "dimensions": ["o_orderpriority"], "metrics": [{"aggregation": "LOGISTIC_REGRESSION", "attribute": "big", "secondary": "scaled", "name": "slope"}]}
+    return engine(spark, sf_dir).run(body).whole
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN regexp_matches(v, '^[=+\\-@\\t\\r]') THEN '''' || v ELSE v END AS v, n FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || lang WHEN 1 THEN '-' || source ELSE source END AS v, n_chars::VARCHAR AS n FROM documents)")
 def csv_sanitize(spark, sf_dir):
     v = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-"), "source")).otherwise(F.col("source"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None, doubles: str = ""):
     def add(f):
         key = name or f.__name__
         if sql:
-            cut = ", ".join(f"CASE WHEN abs({c}) >= 1e6 THEN round({c}, 1) WHEN abs({c}) >= 1 THEN round({c}, 5) ELSE round({c}, 9) END AS {c}" for c in doubles.split())
+            cut = ", ".join(f"CASE WHEN abs({c}) >= 1e6 THEN round({c}, 2) WHEN abs({c}) >= 1 THEN round({c}, 5) ELSE round({c}, 9) END AS {c}" for c in doubles.split())
             ORACLES[key] = f"SELECT * REPLACE ({cut}) FROM ({sql})" if cut else sql
         QUERIES[key] = (lambda spark, sf_dir: rounded(f(spark, sf_dir))) if sql else f
         return f
@@ -37,7 +37,7 @@ def query(sql: str | None = None, name: str | None = None, doubles: str = ""):
 def rounded(df: DataFrame) -> DataFrame:
     def cut(c: str):
         x = F.col(f"`{c}`").cast("double")
-        return F.when(F.abs(x) >= 1e6, F.round(x, 1)).when(F.abs(x) >= 1, F.round(x, 5)).otherwise(F.round(x, 9)).alias(c)
+        return F.when(F.abs(x) >= 1e6, F.round(x, 2)).when(F.abs(x) >= 1, F.round(x, 5)).otherwise(F.round(x, 9)).alias(c)
 
     return df.select(*(cut(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
 

@@ -51,6 +51,20 @@ def test_bivariate(costs, spark):
     assert one(flat, metrics=[metric("STD_DEV")])["x"] == 0
 
 
+def test_logistic_metric(spark):
+    from halyard.functions.stats import logistic
+
+    e = engine(spark, [(i, "a" if i < 11 else "b", int(i > 5 and i < 11), float(i % 11), 1.0, NOW, True) for i in range(1, 15)])
+    got = {r.category: r.x for r in e.run({"entity": "log", "dimensions": ["category"], "metrics": [metric("LOGISTIC_REGRESSION", "priority", secondary="cost")]}).whole.collect()}
+    assert got["b"] is None and got["a"] == pytest.approx(logistic(e.table("log").where("category = 'a'"), "cost", "priority")[1], rel=1e-6)
+
+
+def test_cache(costs):
+    body = {"entity": "log", "metrics": [metric("SUM")]}
+    assert costs.cached(body) is costs.cached(dict(body)) and costs.cached(body) is not costs.cached(body, Security(user=1))
+    costs.forget()
+
+
 def test_count_of_text_counts_rows(costs):
     assert one(costs, metrics=[metric("COUNT", "category")])["x"] == 4
 

@@ -8,17 +8,16 @@ Two texts link when ``100 * |A & B| >= 75 * |A | B|``.
   last, else by hash). Linked sets share one of their first
   ``n - ceil(0.75 n) + 1`` shingles, so only classes that share such a key can
   link. The list of frequent shingles only orders; it decides nothing.
-* First pass: each class goes to one tile, that of its commonest key and size
-  band (salted so that a tile has a bounded number of classes). Within a tile
-  pairs of compatible sizes are bounded from above by the bit counts of hashed
-  bitmaps, then verified by exact sorted-array intersection, and a spanning
-  forest of the links comes out.
-* Further passes: only keys whose classes are still in several components
-  count. Their tiles (blocks against blocks where a key has many classes) hold
-  the bitmaps; pairs from different components that pass the bound come out,
-  the best ``m`` of each two components first, and are verified exactly. If all
-  of a full list fail, the next pass allows four times as many, until no pair
-  of components is left that could link. No candidate is ever given up.
+* Each class lives in one tile: its commonest key, its size band, and a salt
+  that bounds the tile's residents. It also visits the tiles of classes that it
+  shares a key with, where their sizes allow a link (of two such tiles the one
+  with the lesser label), so every two classes that can link meet once.
+* A tile first holds hashed bitmaps. Bit counts bound the overlap of two sets
+  from above; classes without any pair within the bound are out. For the
+  others the tile gets the sets, exact sorted-array intersection verifies
+  pairs that aren't connected yet, and a spanning forest of the links comes
+  out. Visitors stream past the residents, so a tile's memory is bounded.
+* Components of the forests' links follow from star contraction.
 
 Defined cases: null text and text without words have an empty set and link
 with nothing; exact copies and repeated rows share a class; fewer than five
@@ -39,8 +38,7 @@ from .storage import Scratch
 from .text import U64, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100
-TILE = 384
-BLOCK = 4096
+TILE = 1024
 HOT_IN_CHUNK = 6
 HOT_KEYS = 500_000
 
@@ -76,8 +74,8 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two of at least twice the size, 64 to 8192."""
-    return int(min(8192, max(64, 1 << (2 * n - 1).bit_length())))
+    """A power of two of at least eight times the size, 64 to 65536."""
+    return int(min(1 << 16, max(64, 1 << (8 * n - 1).bit_length())))
 
 
 def folded(maps: list[np.ndarray], words: int) -> np.ndarray:
@@ -97,37 +95,107 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def link(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def groups(batches, key: str) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
-    rest: list[pa.Table] = []
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        k = t.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi == lo:
+class Side:
+    """Rows of a tile by rising size: ids, sizes, bitmaps and, in the second step, sets."""
+
+    def __init__(self, cols: dict):
+        self.s, self.n = cols["s"], cols["n"]
+        self.sets = [np.frombuffer(x, U64) for x in cols["shingles"]] if "shingles" in cols else None
+        self.maps = [np.frombuffer(x, U64) for x in cols["bits"]] if "bits" in cols else [bitmap(x, bitmap_bits(len(x))) for x in self.sets]
+        self._at: dict[int, np.ndarray] = {}
+
+    def at(self, words: int) -> np.ndarray:
+        if words not in self._at:
+            self._at[words] = folded(self.maps, words)
+        return self._at[words]
+
+    @property
+    def words(self) -> int:
+        return min(len(m) for m in self.maps)
+
+    def within_bound(self, bits: np.ndarray, n: int, lo: int, hi: int) -> np.ndarray:
+        """Places lo..hi of rows that the bitmaps let link with a set."""
+        words = min(self.words, len(bits))
+        bound = upper_bounds(np.bitwise_or.reduce(bits.reshape(-1, words), axis=0), n, self.at(words)[lo:hi], self.n[lo:hi])
+        return np.flatnonzero(bound >= need(n, self.n[lo:hi])) + lo
+
+
+class Tile:
+    """Residents of a tile and what is found about them; ``exact``: the second step."""
+
+    def __init__(self, exact: bool):
+        self.exact, self.parts, self.home, self.hits, self.links = exact, [], None, set(), []
+        self.up: dict[int, int] = {}
+
+    def residents(self, cols: dict) -> None:
+        self.parts.append(cols)
+
+    def settle(self) -> None:
+        if self.home is not None or not self.parts:
+            return
+        cols = {c: [x for p in self.parts for x in p[c]] if isinstance(self.parts[0][c], list) else np.concatenate([p[c] for p in self.parts]) for c in self.parts[0]}
+        self.home = Side(cols)
+        for i in range(len(self.home.n) - 1):
+            end = int(np.searchsorted(self.home.n, self.home.n[i] * DEN // NUM, "right"))
+            if end > i + 1:
+                self.pairs(self.home, i, i + 1, end)
+
+    def visitors(self, cols: dict) -> None:
+        self.settle()
+        if self.home is None:
+            return
+        side = Side(cols)
+        for i in range(len(side.n)):
+            lo, hi = np.searchsorted(self.home.n, -(-NUM * side.n[i] // DEN)), np.searchsorted(self.home.n, side.n[i] * DEN // NUM, "right")
+            if hi > lo:
+                self.pairs(side, i, int(lo), int(hi))
+
+    def root(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def pairs(self, side: Side, i: int, lo: int, hi: int) -> None:
+        near = self.home.within_bound(side.maps[i], int(side.n[i]), lo, hi)
+        if not len(near):
+            return
+        a = int(side.s[i])
+        if not self.exact:
+            self.hits.add(a)
+            self.hits.update(self.home.s[near].tolist())
+            return
+        for j in near.tolist():
+            b = int(self.home.s[j])
+            if self.root(a) != self.root(b) and overlap(side.sets[i], self.home.sets[j]) >= need(int(side.n[i]), int(self.home.n[j])):
+                self.up[self.root(a)] = self.root(b)
+                self.links.append((a, b))
+
+    def close(self, label: int) -> pa.RecordBatch | None:
+        self.settle()
+        if self.exact:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in self.links], pa.int64()) for i in (0, 1)], names=["a", "b"]) if self.links else None
+        return pa.RecordBatch.from_arrays([pa.array([label] * len(self.hits), pa.int64()), pa.array(sorted(self.hits), pa.int64())], names=["tile", "s"]) if self.hits else None
+
+
+def _tiles(exact: bool):
+    """Runs batches sorted by (tile, visitor, n, s) through their tiles."""
+    def run(batches):
+        label, tile = None, None
+        for b in batches:
+            if not len(b):
                 continue
-            if rest and rest[0].column(key)[0].as_py() != k[lo]:
-                yield pa.concat_tables(rest)
-                rest = []
-            rest.append(t.slice(lo, hi - lo))
-    if rest:
-        yield pa.concat_tables(rest)
+            cols = {c: b.column(c).to_pylist() if pa.types.is_binary(b.schema.field(c).type) else b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+            t, v = cols["tile"], cols["visitor"]
+            cuts = [0, *(np.flatnonzero((t[1:] != t[:-1]) | (v[1:] != v[:-1])) + 1).tolist(), len(t)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if t[lo] != label:
+                    if tile is not None and (out := tile.close(label)) is not None:
+                        yield out
+                    label, tile = int(t[lo]), Tile(exact)
+                (tile.visitors if v[lo] else tile.residents)({c: x[lo:hi] for c, x in cols.items()})
+        if tile is not None and (out := tile.close(label)) is not None:
+            yield out
+    return run
 
 
 def set_id(s: np.ndarray) -> int:
@@ -136,10 +204,10 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _sketch(hot):
-    """(doc_id, s, n, prefix): set id, size and keys; texts with a set seen in the same batch carry no keys again."""
+    """(doc_id, s, n, prefix, bits): set id, size, keys and bitmap; texts with a set seen in the same batch carry no keys again."""
     def run(batches):
         for b in batches:
-            ids, sizes, keys, seen = [], [], [], set()
+            ids, sizes, keys, maps, seen = [], [], [], [], set()
             rank = hot.value
             for chunk in chunks(b.column(1)):
                 for s in shingle_sets(chunk):
@@ -148,7 +216,9 @@ def _sketch(hot):
                     sizes.append(len(s))
                     if not len(s) or sid in seen:
                         keys.append(None)
+                        maps.append(None)
                         continue
+                    maps.append(bitmap(s, bitmap_bits(len(s))).tobytes())
                     seen.add(sid)
                     p = prefix_size(len(s))
                     if len(rank):
@@ -156,88 +226,30 @@ def _sketch(hot):
                         first = s[~often][:p]
                         s = np.concatenate([first, s[often][: p - len(first)]])
                     keys.append(s[:p].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "s", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "s", "n", "prefix", "bits"])
     return run
 
 
 def _explode(batches):
     for b in batches:
-        keys = [np.frombuffer(k, np.int64) for k in b.column(2).to_pylist()]
+        keys = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
         sizes = [len(k) for k in keys]
         if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.repeat(b.column(i).to_numpy(), sizes)) for i in (0, 1))], names=["key", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["key", "s"])
 
 
 def _arrays(batches):
-    """(s, n, shingles, bits) of the representatives' texts."""
+    """(s, shingles) of the representatives' texts."""
+    done: set[int] = set()
     for b in batches:
-        wanted = b.column(0).to_pylist()
-        sets = [s for chunk in chunks(b.column(2)) for s in shingle_sets(chunk)]
-        own = [i for i, s in enumerate(sets) if len(s) and set_id(s) == wanted[i]]  # an id may stand on several texts
-        b, sets = b.take(pa.array(own, pa.int64())), [sets[i] for i in own]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())], names=["s", "n", "shingles", "bits"])
-
-
-def _in_order(t: pa.Table, *more: str):
-    """Columns of a tile by rising size."""
-    t = t.sort_by([("n", "ascending"), ("s", "ascending")])
-    return (t.column("s").to_numpy(), t.column("n").to_numpy(), [np.frombuffer(x, U64) for x in t.column("bits").to_pylist()], *(t.column(c) for c in more))
-
-
-def _first_tiles(batches):
-    for t in groups(batches, "tile"):
-        if t.num_rows < 2:
-            continue
-        s, n, maps, shingles = _in_order(t, "shingles")
-        sets = [np.frombuffer(x, U64) for x in shingles.to_pylist()]
-        wide = folded(maps, min(len(m) for m in maps))
-        forest, out = Forest(len(s)), []
-        for i in range(len(s) - 1):
-            end = int(np.searchsorted(n, n[i] * DEN // NUM, "right"))
-            bound = upper_bounds(wide[i], n[i], wide[i + 1 : end], n[i + 1 : end])
-            for j in (np.flatnonzero(bound >= need(n[i], n[i + 1 : end])) + i + 1).tolist():
-                if forest.root(i) != forest.root(j) and overlap(sets[i], sets[j]) >= need(int(n[i]), int(n[j])):
-                    forest.link(i, j)
-                    out.append((s[i], s[j]))
-        if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _cross_tiles(most: int):
-    """Pairs from different components that the bitmaps allow, the best ``most`` of each two components; ``full`` if there may be more."""
-    def run(batches):
-        for t in groups(batches, "tile"):
-            if t.num_rows < 2:
-                continue
-            s, n, maps, comp, side = _in_order(t, "c", "side")
-            comp, side = comp.to_numpy(), side.to_numpy()
-            wide = folded(maps, min(len(m) for m in maps))
-            found: dict[tuple[int, int], list] = {}
-            for i in range(len(s) - 1):
-                end = int(np.searchsorted(n, n[i] * DEN // NUM, "right"))
-                other = np.flatnonzero((comp[i + 1 : end] != comp[i]) & ((side[i + 1 : end] != side[i]) | (side[i] == 2))) + i + 1
-                if not len(other):
-                    continue
-                bound = upper_bounds(wide[i], n[i], wide[other], n[other])
-                over = bound - need(n[i], n[other])
-                for k in np.flatnonzero(over >= 0).tolist():
-                    j = other[k]
-                    found.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), []).append((-int(over[k]), int(s[i]), int(s[j])))
-                    if len(best := found[min(comp[i], comp[j]), max(comp[i], comp[j])]) > 4 * most + 64:
-                        best.sort()
-                        del best[most + 1 :]
-            rows = [(*pair, a, b, len(best) > most) for pair, best in found.items() for _, a, b in sorted(best)[:most]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[:4]] + [pa.array([r[4] for r in rows])], names=["ca", "cb", "a", "b", "full"])
-    return run
-
-
-def _verify(batches):
-    for b in batches:
-        x, y, nx, ny = (b.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))
-        ok = [overlap(np.frombuffer(p, U64), np.frombuffer(q, U64)) >= need(m, n) for p, q, m, n in zip(x, y, nx, ny, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ca", "cb", "a", "b")), pa.array(ok), b.column("full")], names=["ca", "cb", "a", "b", "linked", "full"])
+        wanted, own, sets = b.column(0).to_pylist(), [], []
+        for chunk in chunks(b.column(1)):
+            for i, s in enumerate(shingle_sets(chunk), chunk.first):
+                if wanted[i] not in done and len(s) and set_id(s) == wanted[i]:  # an id may stand on several texts
+                    done.add(wanted[i])
+                    own.append(i)
+                    sets.append(s)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "shingles"])
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -263,15 +275,8 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("c"))
 
 
-def _relabel(comp: DataFrame | None, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components of set ids after more edges, which are between ``ca`` and ``cb``."""
-    merged = connected(edges, scratch)
-    if comp is None:
-        return merged
-    moved = merged.select(F.col("v").alias("c"), F.col("c").alias("to"))
-    old = comp.join(moved, "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-    fresh = merged.join(comp.select("v"), "v", "left_anti")
-    return scratch.keep(old.unionByName(fresh))
+#: Ids of texts to fetch are broadcast up to this count (16 bytes each), beyond it the texts are joined by shuffle.
+FETCH = 1_000_000
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -281,44 +286,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     hot = spark.sparkContext.broadcast(_frequent(docs))
-    sketch = scratch.keep(docs.mapInArrow(_sketch(hot), f"doc_id {kind}, s long, n long, prefix binary"))
-    rows = sketch.where("n > 0 and prefix is not null").select("s", "n", "prefix").mapInArrow(_explode, "key long, s long, n long")
+    sketch = scratch.keep(docs.mapInArrow(_sketch(hot), f"doc_id {kind}, s long, n long, prefix binary, bits binary"))
     # keys of two different sets; copies that went through different tasks are the same row
-    spread = rows.selectExpr("key", "s", "n", "min(s) over (partition by key) lo", "max(s) over (partition by key) hi").where("lo != hi")
-    shared = scratch.keep(spread.select("key", "s", "n").distinct())
-    members = sketch.select("doc_id", "s", "n")
+    rows = sketch.where("prefix is not null").select("s", "prefix").mapInArrow(_explode, "key long, s long")
+    spread = rows.selectExpr("key", "s", "min(s) over (partition by key) lo", "max(s) over (partition by key) hi").where("lo != hi")
+    shared = scratch.keep(spread.select("key", "s").distinct())
+    # of keys with the same classes one is enough
+    same = shared.groupBy("key").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(s))").alias("x"), F.expr("bit_xor(xxhash64(s, 1))").alias("y"))
+    keys = same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
+    members = scratch.keep(sketch.select("doc_id", "s", "n"))
     reps = members.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    counts = shared.groupBy("key").agg(F.count("*").alias("k"))
-    pick = shared.join(counts, "key").groupBy("s", "n").agg(F.max(F.struct("k", "key")).alias("top")).select("s", "n", "top.k", "top.key")
-    wanted = reps.join(pick.select("s"), "s", "left_semi")
-    arrays = docs.join(wanted, "doc_id").select("s", "n", "text").mapInArrow(_arrays, "s long, n long, shingles binary, bits binary")
-    arrays = scratch.keep(arrays.dropDuplicates(["s"]))
+    shared = scratch.keep(shared.join(keys, "key").join(reps.select("s", "n"), "s"))
+    pick = shared.groupBy("s", "n").agg(F.max(F.struct("k", "key")).alias("top")).select("s", "n", "top.key", "top.k")
+    bits = scratch.keep(sketch.where("bits is not null").select("s", "bits").join(pick.select("s"), "s", "left_semi").dropDuplicates(["s"]))
+    scratch.drop(sketch)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
-    tile = F.xxhash64("key", band, F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / TILE)))
-    first = pick.select("s", tile.alias("tile")).join(arrays, "s").repartition("tile").sortWithinPartitions("tile").mapInArrow(_first_tiles, "a long, b long")
-    comp = _relabel(None, scratch.keep(first), scratch)
-    most = 4
-    bits = arrays.select("s", "bits")
-    pairs = arrays.select("s", F.col("n").alias("_n"), "shingles")
-    while True:
-        now = shared.join(comp.withColumnRenamed("v", "s"), "s", "left").select("key", "s", "n", F.coalesce("c", "s").alias("c"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo != hi").select("key", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks"))
-        block = F.pmod(F.xxhash64("s"), F.col("blocks"))
-        spread = now.join(mixed, "key").join(bits, "s").withColumn("own", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        tile = F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))
-        side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
-        found = spread.select(tile.alias("tile"), "s", "n", "c", "bits", side.alias("side")).repartition("tile").sortWithinPartitions("tile").mapInArrow(_cross_tiles(most), "ca long, cb long, a long, b long, full boolean")
-        found = found.groupBy("ca", "cb", "a", "b").agg(F.max("full").alias("full"))
-        checked = (found.join(pairs.select(F.col("s").alias("a"), F.col("_n").alias("nx"), F.col("shingles").alias("x")), "a")
-                   .join(pairs.select(F.col("s").alias("b"), F.col("_n").alias("ny"), F.col("shingles").alias("y")), "b")
-                   .mapInArrow(_verify, "ca long, cb long, a long, b long, linked boolean, full boolean"))
-        checked = scratch.keep(checked)
-        state = checked.groupBy("ca", "cb").agg(F.max("linked").alias("linked"), F.max("full").alias("full")).agg(F.max("linked").alias("linked"), F.max(F.expr("full and not linked")).alias("more")).first()
-        if state.linked:
-            comp = _relabel(comp, checked.where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch)
-        if not state.more:  # every pair that could link two components was verified, or they are one by now
-            break
-        most *= 4
+    home = scratch.keep(pick.select("s", F.xxhash64("key", band, F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / TILE))).alias("home")))
+    housed = shared.join(home, "s")
+    tiles = housed.groupBy("key", F.col("home").alias("tile")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    meets = (F.col("tile") < F.col("home")) & (NUM * F.col("n") <= DEN * F.col("most")) & (DEN * F.col("n") >= NUM * F.col("least"))
+    visits = housed.join(tiles, "key").where(meets).select("tile", "s", "n").distinct()
+    stays = pick.join(home, "s").select(F.col("home").alias("tile"), "s", "n")
+    where = scratch.keep(stays.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True))))
+    order = ["tile", "visitor", "n", "s"]
+    hits = where.join(bits, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=False), "tile long, s long")
+    hits = scratch.keep(hits)
+    scratch.drop(bits)
+    wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"))
+    wanted = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
+    arrays = scratch.keep(docs.join(wanted, "doc_id").select("s", "text").mapInArrow(_arrays, "s long, shingles binary"))
+    links = where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=True), "a long, b long")
+    links = scratch.keep(links)
+    scratch.drop(arrays)
+    comp = connected(links, scratch)
     least = reps.select("s", F.col("doc_id").alias("d")).join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))
     by_comp = least.groupBy("c").agg(F.min("d").alias("component_id"))
     label = least.join(by_comp, "c").select("s", "component_id")

@@ -327,7 +327,7 @@ def merge_synopses(blocks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One summary of many: exact n, mean, variance and range; the sketches' estimates of distinct values and median."""
     n, mean = F.col("n").cast("double"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
     second = F.sum(F.coalesce("m2", F.lit(0.0)) + n * F.coalesce("mean", F.lit(0.0)) * F.coalesce("mean", F.lit(0.0)))
-    return blocks.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), mean.alias("mean"), F.try_divide(second - F.sum("n") * mean * mean, F.sum("n") - 1).alias("variance"),
+    return blocks.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"), mean.alias("mean"), F.try_divide(second - F.sum("n") * mean * mean, F.sum("n") - 1).alias("variance"),
                                    F.min("low").alias("low"), F.max("high").alias("high"), F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("distinct"))
 
 

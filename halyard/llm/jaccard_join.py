@@ -4,7 +4,7 @@ A text's set is that of its lower-cased five-word shingles, as 64 bit hashes.
 Two texts link when ``100 * |A & B| >= 75 * |A | B|``.
 
 * Texts with equal sets are one class from the start; only classes are joined.
-* All sets are ordered alike (shingles that are frequent within some chunk
+* All sets are ordered alike (shingles that are frequent within some batch
   last, else by hash). Linked sets share one of their first
   ``n - ceil(0.75 n) + 1`` shingles, so only classes that share such a key can
   link. The list of frequent shingles only orders; it decides nothing.
@@ -39,7 +39,7 @@ from .text import U64, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100
 TILE = 1024
-HOT_IN_CHUNK = 6
+HOT_IN_BATCH = 3
 HOT_KEYS = 500_000
 
 
@@ -53,18 +53,19 @@ def prefix_size(n: int) -> int:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes that occur in several texts of one chunk, the commonest HOT_KEYS of them; their count is bounded, and they only order keys."""
+    """Upper halves of hashes that several texts of one batch have, those of most batches first, HOT_KEYS at most; they only order keys."""
     def count(batches):
         for b in batches:
-            for chunk in chunks(b.column(0), 8 << 20):
-                sets = list(shingle_sets(chunk))
-                if sets:
-                    h, n = np.unique(np.concatenate(sets), return_counts=True)
-                    often = n >= HOT_IN_CHUNK
-                    yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+            parts = [(s >> U64(32)).astype(np.uint32) for chunk in chunks(b.column(0)) for s in shingle_sets(chunk)]
+            if parts:
+                h = np.concatenate(parts)
+                del parts
+                h.sort()
+                often = np.unique(h[: 1 - HOT_IN_BATCH][h[HOT_IN_BATCH - 1 :] == h[: 1 - HOT_IN_BATCH]])
+                yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int64))], names=["h"])
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h").toArrow()
-    return np.sort(found.column(0).to_numpy().view(U64)) if found.num_rows else np.empty(0, U64)
+    found = docs.select("text").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.uint32)) if found.num_rows else np.empty(0, np.uint32)
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -74,8 +75,8 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two of at least eight times the size, 64 to 65536."""
-    return int(min(1 << 16, max(64, 1 << (8 * n - 1).bit_length())))
+    """A power of two of at least three times the size, 64 to 65536."""
+    return int(min(1 << 16, max(64, 1 << (3 * n - 1).bit_length())))
 
 
 def folded(maps: list[np.ndarray], words: int) -> np.ndarray:
@@ -222,7 +223,8 @@ def _sketch(hot):
                     seen.add(sid)
                     p = prefix_size(len(s))
                     if len(rank):
-                        often = rank[np.minimum(np.searchsorted(rank, s), len(rank) - 1)] == s
+                        half = (s >> U64(32)).astype(np.uint32)
+                        often = rank[np.minimum(np.searchsorted(rank, half), len(rank) - 1)] == half
                         first = s[~often][:p]
                         s = np.concatenate([first, s[often][: p - len(first)]])
                     keys.append(s[:p].tobytes())
@@ -313,14 +315,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hits = scratch.keep(hits)
     scratch.drop(bits)
     wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"))
-    wanted = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
-    arrays = scratch.keep(docs.join(wanted, "doc_id").select("s", "text").mapInArrow(_arrays, "s long, shingles binary"))
+    fetch = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
+    arrays = scratch.keep(docs.join(fetch, "doc_id").select("s", "text").mapInArrow(_arrays, "s long, shingles binary"))
     links = where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=True), "a long, b long")
     links = scratch.keep(links)
-    scratch.drop(arrays)
+    for done in (arrays, wanted, hits, where, home, shared):
+        scratch.drop(done)
     comp = connected(links, scratch)
     least = reps.select("s", F.col("doc_id").alias("d")).join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))
     by_comp = least.groupBy("c").agg(F.min("d").alias("component_id"))
     label = least.join(by_comp, "c").select("s", "component_id")
     return (members.join(label, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s")).alias("set_id"),
             F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each group: the rows whose id is the least of its component.
+
+    Of rows that repeat an id one stays. Rows without an id stay where no row with one is in their component, and share that fate.
+    """
+    groups = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    groups = Scratch(docs.sparkSession, "groups").keep(groups)
+    out = docs.join(groups.distinct(), docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
+    repeated = groups.where("_kept is not null").groupBy("_kept").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if repeated else out

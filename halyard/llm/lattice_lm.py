@@ -232,6 +232,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, fold:
             yield pa.RecordBatch.from_arrays([pa.array(word_hash(b.column(0).to_pylist()).view(np.int64)), b.column(1), b.column(2), pa.array(out)], names=["h", "c", "a", "lp"])
 
     scored = scratch.keep(words.mapInArrow(score, "h long, c long, a long, lp double"))
+    scratch.drop(words)
     common = scored.orderBy(F.desc("a"), "h").limit(HOT).toArrow().sort_by("h")
     hot = spark.sparkContext.broadcast(tuple(common.column(c).to_numpy() for c in ("h", "c", "lp")))  # HOT rows at most
 

@@ -24,17 +24,19 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/halyard-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
 
     def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing later reads."""
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if self.root.split("://")[-1] in f}:
-            self._delete(file)
+        """Remove a table that ``keep`` returned and nothing later reads."""
+        self._delete(self._paths.pop(id(df)))
 
     def clear(self) -> None:
         self._delete(self.root)

@@ -10,33 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.decontaminate import decontaminated
-from halyard.llm.jaccard_join import near_duplicates
+from halyard.llm.jaccard_join import distinct_documents
 from halyard.llm.mixing import mixed_documents
-from halyard.llm.nbsvm import classify, train
-from halyard.llm.quality_cascade import quality_cascade
+from halyard.llm.nbsvm import accepted, train
+from halyard.llm.quality_cascade import quality_filtered
 from halyard.llm.storage import Scratch
 
 
-def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ``verdict``; rows with the same id share their fate."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects go on."""
-    return _only(docs, quality_cascade(docs).where("kept"))
+    return quality_filtered(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go on; the model learns from the labelled rows among them, outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, classify(docs, train(docs, labels), threshold=0.3).where("predicted = 1"))
+    return accepted(docs, train(docs, labels), threshold=0.3)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links connect, the one with the least id goes on."""
-    groups = near_duplicates(docs).where("doc_id = component_id")
-    return _only(docs, groups)
+    return distinct_documents(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch, bounded_batches
 from .text import COEF, U64, chunks, mix, span_hashes, windows
 
 K = 5
@@ -168,6 +169,7 @@ def word_hashes(column) -> list[np.ndarray]:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the most similar window of each document and item at 0.75 or more."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long"
     # items are read in groups of a fixed number; only one group is in the driver's hands at a time
@@ -217,7 +219,13 @@ def _group_hits(docs: DataFrame, part: list, schema: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+#: Ids of contaminated documents are broadcast up to this count (8 bytes each), beyond it the documents are joined by shuffle.
+FETCH = 1_000_000
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item; a document goes as a whole."""
-    hits = benchmark_hits(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """The documents that hold no item; a document goes as a whole, and rows of one id (or of none) share their fate."""
+    hits = benchmark_hits(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    hits = Scratch(docs.sparkSession, "hits").keep(hits)
+    few = F.broadcast(hits) if hits.count() <= FETCH else hits
+    return docs.join(few, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")

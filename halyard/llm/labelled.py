@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 
 def held_out(id_col: str = "doc_id", fold: int = 5, rest: int = 0):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % fold == rest, F.lit(False))
@@ -16,6 +18,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Where rows of one id disagree, the larger label counts; null ids and labels are left out.
     ``use`` is a condition on doc_id for rows that may be learnt from.
     """
+    bounded_batches(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if use is not None:
         ids = ids.where(use)

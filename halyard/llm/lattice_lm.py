@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out
-from .storage import Scratch
+from .storage import Scratch, bounded_batches
 from .text import LOWER, PIECE, U64, Chunk, chunks, span_hashes, _BASE, _BASE_INV, _BYTE
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -200,6 +200,7 @@ def word_hash(words: list[str]) -> np.ndarray:
 def lattice_scores(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, fold: int = 7, held: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token) of every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "lattice")
     docs = docs.select("doc_id", "text", held_out(fold=fold, rest=held).alias("held_out"))
     pieces = read_vocabulary(vocabulary)

@@ -158,5 +158,16 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows that score the threshold or more, with all their columns; nothing is shuffled."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 4000, threshold: float = 0.3) -> DataFrame:
     return classify(docs, train(docs, labels, "quality", per_class), threshold).withColumn("held_out", held_out()).select("doc_id", "held_out", F.col("score"), "predicted")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
 from .text import SPACE, U64, Chunk, chunks, mix, span_hashes, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -184,15 +185,20 @@ def _only(chunk: Chunk, alive: np.ndarray) -> Chunk:
     return Chunk(chunk.first, np.concatenate(parts) if parts else chunk.buf[:0], offsets)
 
 
+def _ordered(docs: DataFrame, rules: tuple[Rule, ...], always: tuple[str, ...], sample: int, id_col: str, text_col: str) -> list[Rule]:
+    bounded_batches(docs.sparkSession)
+    ids = docs.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
+    texts = docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(ids["_id"]), "left_semi").select(docs[text_col]).limit(4 * sample).toArrow().column(0)
+    return order_rules(texts, rules, frozenset(always))
+
+
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, always: tuple[str, ...] = (), sample: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, the measures in ``always`` and ``kept`` of every row.
 
     ``sample`` bounds the documents that costs and selectivities are estimated
     on (those with the lowest hashes of their ids).
     """
-    ids = docs.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    texts = docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(ids["_id"]), "left_semi").select(text_col).limit(4 * sample).toArrow().column(0)
-    ordered = order_rules(texts, rules, frozenset(always))
+    ordered = _ordered(docs, rules, always, sample, id_col, text_col)
 
     def judge(batches):
         for b in batches:
@@ -201,3 +207,14 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, always: tu
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(judge, ", ".join([f"id {kind}", *(f"{m} long" for m in always), "kept boolean"])).withColumnRenamed("id", id_col)
+
+
+def quality_filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that no rule rejects, with all their columns; nothing is shuffled."""
+    ordered, at = _ordered(docs, rules, (), sample, id_col, text_col), docs.columns.index(text_col)
+
+    def judge(batches):
+        for b in batches:
+            yield b.filter(pa.array(measure(b.column(at), ordered, ())[1]))
+
+    return docs.mapInArrow(judge, docs.schema)

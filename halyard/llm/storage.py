@@ -17,6 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows that Arrow hands to Python at once, at most; with texts of a few kilobytes these are a few megabytes.
+BATCH_ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger, as texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder and read back without their lineage."""
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .storage import bounded_batches
 from .text import text_bytes
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -71,6 +72,7 @@ def attribute_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), secti
         raise ValueError((rule, sections))
     with open(vocabulary, "rb") as f:  # a file of the driver; executors get its bytes
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    bounded_batches(docs.sparkSession)
     made: list[Encoder] = []
     names, glue = list(fields), separator.encode()
 

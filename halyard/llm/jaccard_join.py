@@ -4,14 +4,16 @@ A text's set is that of its lower-cased five-word shingles, as 64 bit hashes.
 Two texts link when ``100 * |A & B| >= 75 * |A | B|``.
 
 * Texts with equal sets are one class from the start; only classes are joined.
-* All sets are ordered alike (shingles that are frequent within some batch
-  last, else by hash). Linked sets share one of their first
+* All sets are ordered alike (shingles that are frequent within some run of
+  texts last, else by hash). Linked sets share one of their first
   ``n - ceil(0.75 n) + 1`` shingles, so only classes that share such a key can
   link. The list of frequent shingles only orders; it decides nothing.
 * Each class lives in one tile: its commonest key, its size band, and a salt
-  that bounds the tile's residents. It also visits the tiles of classes that it
+  that bounds the tile's residents, who meet first. Where a key fills several tiles, one
+  class of each component found so far meets the others' on a higher level, until
+  nothing more links. A class then visits the tiles of classes of other components that it
   shares a key with, where their sizes allow a link (of two such tiles the one
-  with the lesser label), so every two classes that can link meet once.
+  with the lesser label), so every two classes that can link and aren't connected meet once.
 * A tile first holds hashed bitmaps. Bit counts bound the overlap of two sets
   from above; classes without any pair within the bound are out. For the
   others the tile gets the sets, exact sorted-array intersection verifies
@@ -34,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, bounded_batches
 from .text import U64, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100
 TILE = 1024
-HOT_IN_BATCH = 3
+HOT_IN_RUN = 3
+RUN_SHINGLES = 5_000_000
 HOT_KEYS = 500_000
 
 
@@ -53,16 +56,25 @@ def prefix_size(n: int) -> int:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Upper halves of hashes that several texts of one batch have, those of most batches first, HOT_KEYS at most; they only order keys."""
+    """Upper halves of hashes that several of some 10,000 neighbouring texts have, those of most such runs first, HOT_KEYS at most; they only order keys."""
+    def often(parts):
+        h = np.concatenate(parts)
+        h.sort()
+        found = np.unique(h[: 1 - HOT_IN_RUN][h[HOT_IN_RUN - 1 :] == h[: 1 - HOT_IN_RUN]])
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["h"])
+
     def count(batches):
+        parts, size = [], 0
         for b in batches:
-            parts = [(s >> U64(32)).astype(np.uint32) for chunk in chunks(b.column(0)) for s in shingle_sets(chunk)]
-            if parts:
-                h = np.concatenate(parts)
-                del parts
-                h.sort()
-                often = np.unique(h[: 1 - HOT_IN_BATCH][h[HOT_IN_BATCH - 1 :] == h[: 1 - HOT_IN_BATCH]])
-                yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int64))], names=["h"])
+            for chunk in chunks(b.column(0)):
+                for s in shingle_sets(chunk):
+                    parts.append((s >> U64(32)).astype(np.uint32))
+                    size += len(s)
+            if size > RUN_SHINGLES:
+                yield often(parts)
+                parts, size = [], 0
+        if parts:
+            yield often(parts)
 
     found = docs.select("text").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h").toArrow()
     return np.sort(found.column(0).to_numpy().astype(np.uint32)) if found.num_rows else np.empty(0, np.uint32)
@@ -100,7 +112,7 @@ class Side:
     """Rows of a tile by rising size: ids, sizes, bitmaps and, in the second step, sets."""
 
     def __init__(self, cols: dict):
-        self.s, self.n = cols["s"], cols["n"]
+        self.s, self.n, self.c = cols["s"], cols["n"], cols["c"]
         self.sets = [np.frombuffer(x, U64) for x in cols["shingles"]] if "shingles" in cols else None
         self.maps = [np.frombuffer(x, U64) for x in cols["bits"]] if "bits" in cols else [bitmap(x, bitmap_bits(len(x))) for x in self.sets]
         self._at: dict[int, np.ndarray] = {}
@@ -136,7 +148,7 @@ class Tile:
             return
         cols = {c: [x for p in self.parts for x in p[c]] if isinstance(self.parts[0][c], list) else np.concatenate([p[c] for p in self.parts]) for c in self.parts[0]}
         self.home = Side(cols)
-        for i in range(len(self.home.n) - 1):
+        for i in range(len(self.home.n) - 1) if not self.home.c.any() else ():  # those with components have met already
             end = int(np.searchsorted(self.home.n, self.home.n[i] * DEN // NUM, "right"))
             if end > i + 1:
                 self.pairs(self.home, i, i + 1, end)
@@ -158,6 +170,8 @@ class Tile:
 
     def pairs(self, side: Side, i: int, lo: int, hi: int) -> None:
         near = self.home.within_bound(side.maps[i], int(side.n[i]), lo, hi)
+        if side.c[i]:  # components known before: only others are of interest
+            near = near[self.home.c[near] != side.c[i]]
         if not len(near):
             return
         a = int(side.s[i])
@@ -205,10 +219,13 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _sketch(hot):
-    """(doc_id, s, n, prefix, bits): set id, size, keys and bitmap; texts with a set seen in the same batch carry no keys again."""
+    """(doc_id, s, n, prefix, bits): set id, size, keys and bitmap; texts with a set that the task has seen carry no keys again."""
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            ids, sizes, keys, maps, seen = [], [], [], [], set()
+            ids, sizes, keys, maps = [], [], [], []
+            if len(seen) > 1_000_000:  # only spares work
+                seen.clear()
             rank = hot.value
             for chunk in chunks(b.column(1)):
                 for s in shingle_sets(chunk):
@@ -260,8 +277,10 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternating large-star and small-star steps, each an aggregation by node
     over the edges, written to the shared folder; no group is collected.
     """
+    state = lambda df: df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
     e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    while True:
+    now = state(e)
+    while now[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -269,12 +288,13 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         new = scratch.keep(small)
-        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() or e.join(new, ["u", "v"], "left_anti").limit(1).count()
+        before, now = now, state(new)
         scratch.drop(e)
         e = new
-        if not changed:
-            roots = e.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
-            return e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("c"))
+        if now == before:  # the same edges: every one leads to its component's least node
+            break
+    roots = e.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
+    return e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("c"))
 
 
 #: Ids of texts to fetch are broadcast up to this count (16 bytes each), beyond it the texts are joined by shuffle.
@@ -284,6 +304,7 @@ FETCH = 1_000_000
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) of every row; component_id is the least doc_id that links reach."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
@@ -303,25 +324,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = scratch.keep(sketch.where("bits is not null").select("s", "bits").join(pick.select("s"), "s", "left_semi").dropDuplicates(["s"]))
     scratch.drop(sketch)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
-    home = scratch.keep(pick.select("s", F.xxhash64("key", band, F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / TILE))).alias("home")))
-    housed = shared.join(home, "s")
-    tiles = housed.groupBy("key", F.col("home").alias("tile")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    meets = (F.col("tile") < F.col("home")) & (NUM * F.col("n") <= DEN * F.col("most")) & (DEN * F.col("n") >= NUM * F.col("least"))
-    visits = housed.join(tiles, "key").where(meets).select("tile", "s", "n").distinct()
-    stays = pick.join(home, "s").select(F.col("home").alias("tile"), "s", "n")
-    where = scratch.keep(stays.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True))))
+    home = scratch.keep(pick.select("s", "n", F.xxhash64("key", band).alias("group"), F.xxhash64("key", band, F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / TILE))).alias("home")))
     order = ["tile", "visitor", "n", "s"]
-    hits = where.join(bits, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=False), "tile long, s long")
-    hits = scratch.keep(hits)
-    scratch.drop(bits)
-    wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"))
-    fetch = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
-    arrays = scratch.keep(docs.join(fetch, "doc_id").select("s", "text").mapInArrow(_arrays, "s long, shingles binary"))
-    links = where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=True), "a long, b long")
-    links = scratch.keep(links)
-    for done in (arrays, wanted, hits, where, home, shared):
+
+    def links(where: DataFrame) -> DataFrame:
+        """Spanning links of the tiles' residents with each other and with their visitors: bounds first, then sets."""
+        hits = scratch.keep(where.join(bits, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=False), "tile long, s long"))
+        wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"))
+        fetch = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
+        arrays = scratch.keep(docs.join(fetch, "doc_id").select("s", "text").mapInArrow(_arrays, "s long, shingles binary"))
+        out = scratch.keep(where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=True), "a long, b long"))
+        for done in (arrays, wanted, hits):
+            scratch.drop(done)
+        return out
+
+    at_home = home.select("s", "n", F.col("home").alias("tile"), F.lit(False).alias("visitor"), F.lit(0).cast("long").alias("c"))
+    found = links(at_home)
+    comp = scratch.keep(connected(found, scratch))
+    while True:
+        # of a key and band that fill several tiles, one class of each component meets the others' in tiles of a higher level
+        lead = home.join(comp.withColumnRenamed("v", "s"), "s", "left").groupBy("group", F.coalesce("c", "s").alias("c")).agg(F.min(F.struct("s", "n")).alias("r"), F.count_distinct("home").alias("tiles"))
+        sizes = lead.groupBy("group").agg(F.count("*").alias("k"), F.max("tiles").alias("tiles")).where("tiles > 1 and k > 1")
+        lead = scratch.keep(lead.join(sizes.select("group", "k"), "group").select(F.col("r.s").alias("s"), F.col("r.n").alias("n"), F.xxhash64("group", F.pmod(F.xxhash64("r.s", F.lit(1)), F.ceil(F.col("k") / TILE))).alias("tile"), F.lit(False).alias("visitor"), F.lit(0).cast("long").alias("c")))
+        more = links(lead) if lead.limit(1).count() else None
+        if more is None or not more.limit(1).count():
+            break
+        found = scratch.keep(found.unionByName(more))
+        comp = scratch.keep(connected(found, scratch))
+    placed = home.join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "home", F.coalesce("c", "s").alias("c"))
+    housed = shared.join(placed, "s")
+    tiles = housed.groupBy("key", F.col("home").alias("tile")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    meets = (F.col("tile") < F.col("home")) & (NUM * F.col("n") <= DEN * F.col("most")) & (DEN * F.col("n") >= NUM * F.col("least")) & ((F.col("c_lo") != F.col("c")) | (F.col("c_hi") != F.col("c")))
+    visits = scratch.keep(housed.join(tiles, "key").where(meets).select("tile", "s", "n", "c").distinct())
+    hosts = placed.join(home.select("s", "n"), "s").join(visits.select(F.col("tile").alias("home")).distinct(), "home", "left_semi")
+    where = scratch.keep(hosts.select("s", "n", F.col("home").alias("tile"), F.lit(False).alias("visitor"), "c").unionByName(visits.select("s", "n", "tile", F.lit(True).alias("visitor"), "c")))
+    found = scratch.keep(found.unionByName(links(where)))
+    for done in (bits, where, visits, home, shared):
         scratch.drop(done)
-    comp = connected(links, scratch)
+    comp = connected(found, scratch)
     least = reps.select("s", F.col("doc_id").alias("d")).join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))
     by_comp = least.groupBy("c").agg(F.min("d").alias("component_id"))
     label = least.join(by_comp, "c").select("s", "component_id")
@@ -336,6 +376,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
     groups = Scratch(docs.sparkSession, "groups").keep(groups)
-    out = docs.join(groups.distinct(), docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
+    # most documents stay, so the list of ids grows with the input: never broadcast
+    out = docs.join(groups.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
     repeated = groups.where("_kept is not null").groupBy("_kept").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out

@@ -339,7 +339,7 @@ def copies(prose, seed):
 @pytest.mark.parametrize("seed,tile,hot", [(1, 1024, 6), (2, 3, 2)])
 def test_near_duplicates(spark, prose, monkeypatch, seed, tile, hot):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
-    monkeypatch.setattr(jaccard_join, "HOT_IN_BATCH", hot)
+    monkeypatch.setattr(jaccard_join, "HOT_IN_RUN", hot)
     texts = copies(prose, seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(spark, texts).repartition(3)).collect()}
     assert got == brute_components(texts)

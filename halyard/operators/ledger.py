@@ -9,7 +9,7 @@ import hashlib
 from collections.abc import Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -80,31 +80,39 @@ def issue(batches: DataFrame, issues: DataFrame, item: str, method: str = "FIFO"
     events = batches.select(item, F.lit(0).alias("kind"), F.col("received_at").alias("at"), F.col("batch_id").cast("string").alias("id"), F.col("quantity").cast("double").alias("q"), F.col("unit_cost").cast("double").alias("c"))
     events = events.unionByName(issues.select(item, F.lit(1).alias("kind"), F.col("issued_at").alias("at"), F.col("issue_id").cast("string").alias("id"), F.col("quantity").cast("double").alias("q"), F.lit(None).cast("double").alias("c")))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        stock: list[list[float]] = []
-        rows = []
-        for e in pdf.sort_values(["at", "kind", "id"]).itertuples():
-            if e.kind == 0:
-                stock.append([e.q, e.c])
-                continue
-            left, cost = e.q, 0.0
-            if method.upper() == "WAC":
-                have = sum(q for q, _ in stock)
-                mean = sum(q * c for q, c in stock) / have if have else 0.0
-                took = min(left, have)
-                cost, left = took * mean, left - took
-                stock = [[have - took, mean]]
-            else:
-                while left > 0 and stock:
-                    took = min(left, stock[-1][0])
-                    cost, left = cost + took * stock[-1][1], left - took
-                    stock[-1][0] -= took
-                    if stock[-1][0] <= 0:
-                        stock.pop()
-            rows.append((getattr(e, item), e.id, e.q, e.q - left, float(Decimal(repr(cost)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN))))
-        return pd.DataFrame(rows, columns=[item, "issue_id", "quantity", "filled", "cogs"])
-
-    return events.groupBy(item).applyInPandas(walk, f"{item} {kind}, issue_id string, quantity double, filled double, cogs double")
+    def walk(batches):
+        # rows come item by item in order of time; only the stock of one item is held
+        now, stock = object(), []
+        for b in batches:
+            rows = []
+            cols = [b.column(c).to_pylist() for c in (item, "kind", "id")] + [b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("q", "c")]
+            for key, what, name, q, c in zip(*cols, strict=True):
+                if key != now:
+                    now, stock = key, []
+                if what == 0:
+                    stock.append([q, c])
+                    continue
+                left, cost = q, 0.0
+                if method.upper() == "WAC":
+                    have = sum(q for q, _ in stock)
+                    mean = sum(q * c for q, c in stock) / have if have else 0.0
+                    took = min(left, have)
+                    cost, left = took * mean, left - took
+                    stock = [[have - took, mean]]
+                else:
+                    while left > 0 and stock:
+                        took = min(left, stock[-1][0])
+                        cost, left = cost + took * stock[-1][1], left - took
+                        stock[-1][0] -= took
+                        if stock[-1][0] <= 0:
+                            stock.pop()
+                rows.append((key, name, q, q - left, float(Decimal(repr(cost)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN))))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(item).type), pa.array(cols[1], pa.string()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=[item, "issue_id", "quantity", "filled", "cogs"])
+
+    ordered = events.repartition(item).sortWithinPartitions(item, F.asc_nulls_last("at"), "kind", F.asc_nulls_last("id"))
+    return ordered.mapInArrow(walk, f"{item} {kind}, issue_id string, quantity double, filled double, cogs double")
 
 
 def running_wac(batches: DataFrame, item: str) -> DataFrame:

@@ -164,7 +164,7 @@ def decimal_multiply(spark, sf_dir):
 def hamilton_allocation(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = load_table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000").select(F.col("l_orderkey").alias("g"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("i"), F.col("l_quantity").alias("w"))
+    rows = load_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("i"), F.col("l_quantity").alias("w"))
     return L.allocate(rows, F.lit(100), "w", "i", ["g"]).groupBy("g").agg(F.sum("share").cast("double").alias("total"), F.max("i").cast("long").alias("n"))
 
 

@@ -57,7 +57,7 @@ def test_issues_of_all_items(spark, folder, method):
     assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-3)
 
 
-@pytest.mark.parametrize("name,cut", [("fifo_cogs", " WHERE l_partkey <= 200"), ("running_wac", " WHERE l_partkey <= 200")])
+@pytest.mark.parametrize("name,cut", [("fifo_cogs", " WHERE l_partkey <= 200"), ("running_wac", " WHERE l_partkey <= 200"), ("hamilton_allocation", " WHERE l_orderkey <= 3000")])
 def test_all_ids(spark, folder, monkeypatch, name, cut):
     import duckdb
 

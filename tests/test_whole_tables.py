@@ -65,3 +65,8 @@ def test_all_ids(spark, folder, monkeypatch, name, cut):
     con.execute(f"create view lineitem as select * from '{folder[0]}/lineitem.parquet/*.parquet'")
     monkeypatch.setattr(compare, "FOLDER", folder[0])
     compare.check(spark, con, QUERIES[name], ORACLES[name].replace(cut, ""))
+
+
+def test_edit_distance_of_long_names(spark, tmp_path):
+    spark.createDataFrame([(1, "small rnig"), (2, "small rnig and more")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.p_partkey: r.d for r in QUERIES["edit_distance"](spark, str(tmp_path)).collect()} == {1: 0, 2: 9}

@@ -3,7 +3,7 @@
 Each benchmark item is a bag of lower-cased five-word shingles with a 64 bit
 SimHash. Every window of a document that has as many words as an item, and at
 least one of its shingles (without one the similarity is 0), is fingerprinted
-at every offset. Fingerprints are cut into four blocks of 16 bits; two within
+at every offset; a document shorter than the item is one window. Fingerprints are cut into four blocks of 16 bits; two within
 RADIUS differ in at most RADIUS // 4 bits of some block, and a table a block,
 filled with every value in that reach of each item, gives all items in the
 radius. Candidates are verified by exact weighted similarity: the sum of the
@@ -111,7 +111,9 @@ class Index:
         for n, places in by_size.items():
             span = n - K + 1
             last = len(words) - n
-            if last < 0:
+            if last < 0:  # the document is shorter than the item: one window, similar only with 0.75 of the item's shingles
+                if DEN * len(h) >= NUM * span:
+                    self._windows(h, np.array([0]), n, len(h), best)
                 continue
             at = np.array(places)
             edge = np.zeros(last + 2, np.int64)
@@ -135,7 +137,7 @@ class Index:
                 own, times = np.unique(h[start : start + span], return_counts=True)
                 _, x, y = np.intersect1d(own, values, assume_unique=True, return_indices=True)
                 less = int(np.minimum(times[x], counts[y]).sum())
-                more = 2 * span - less
+                more = int(counts.sum()) + span - less
                 old = best.get(number)
                 if DEN * less >= NUM * more and (old is None or less * old[1] > old[0] * more or less * old[1] == old[0] * more and start < old[2]):
                     best[number] = (less, more, start)
@@ -211,7 +213,7 @@ def _group_hits(docs: DataFrame, part: list, schema: str) -> DataFrame:
                     best = index.meet(w[firsts[d] : firsts[d + 1]], h[at[d] : at[d + 1]], own - at[d], key[own])
                     if index.short:
                         best |= index.short_items(w[firsts[d] : firsts[d + 1]])
-                    rows += [(chunk.first + d, ids[i], less / more, start, len(words[i])) for i, (less, more, start) in sorted(best.items())]
+                    rows += [(chunk.first + d, ids[i], less / more, start, min(len(words[i]), int(firsts[d + 1] - firsts[d]))) for i, (less, more, start) in sorted(best.items())]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])

@@ -176,6 +176,29 @@ def test_decontamination(spark, prose, odd, clash, empty, monkeypatch):
     assert decontaminate.decontaminated(clash, bench).columns == clash.columns and decontaminate.decontaminated(clash, bench).count() == 10
 
 
+def test_documents_shorter_than_an_item(spark, prose):
+    def bag(w):
+        return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    items = prose(12, 14, 20, 60)
+    texts = []
+    for t in items:
+        w = t.split()
+        k = len(w) // 3
+        texts += [" ".join(w[:-1]), " ".join(w[: len(w) * 9 // 10]), " ".join(w[:k] + w[k + 1 :]), " ".join(w[: len(w) // 2]), " ".join(w[: len(w) * 8 // 10])]
+    want = {}
+    for d, t in enumerate(texts):
+        for i, q in enumerate(items):
+            x, y = bag(t.split()), bag(q.split())
+            if 100 * (x & y).total() >= 75 * (x | y).total() and len(t.split()) < len(q.split()):
+                want[d, i] = (x & y).total() / (x | y).total()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.benchmark_hits(frame(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want) and len(want) >= 36
+    assert all(r.first_word == 0 and r.n_words == len(texts[r.doc_id].split()) for r in got)
+    assert {r.doc_id for r in decontaminate.decontaminated(frame(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_blocks_find_everything_within_the_radius():
     rng = np.random.default_rng(0)
     index = decontaminate.Index([(i, rng.integers(0, 2**63, 20, dtype=np.uint64)) for i in range(70)])

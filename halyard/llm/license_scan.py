@@ -8,7 +8,10 @@ rows calibrates its probabilities, and a paragraph below ``sure`` is unknown.
 A prediction is confirmed by comparison with the family's templates: the share
 of a template's words that the paragraph holds.
 
-Only paragraphs (lines) with a word of GATE are classified, as every notice has one; all others are unknown by definition.
+Every line is a paragraph, and so is every block of several lines between blank
+ones, which counts from its first line and is reported where none of its lines
+has the family itself. All with a gram that the model knows are classified; no others can have a family.
+The corpus's sample leaves out paragraphs that resemble a template.
 
 Defined cases: null and empty texts have no paragraphs of interest; repeated
 rows and lines are reported one by one; an empty table gives an empty result;
@@ -22,6 +25,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Short public notices by family.
 NOTICES = {
@@ -36,7 +40,6 @@ NOTICES = {
 }
 #: Sentences with the same words that give no licence.
 SPEAKING_OF = ["He lost his driving licence last year.", "Permission was denied by the office.", "The copyright office is closed on public holidays.", "A licence to fish costs ten dollars.", "All rights reserved.", "Copyright 2020 the authors.", "You need permission to redistribute this work.", "The software comes without warranty of any kind.", "License plate number and registration", "Please read the license before use", "the city was released from the general public version", "Mozilla and Apache are names of software foundations", "The GNU project began long ago", "MIT is a university", "public version of the work under the international terms"]
-GATE = r"licen[cs]|\bcc0? |permission|redistribut|public domain|spdx|copyright"
 UNKNOWN = "unknown"
 
 
@@ -46,7 +49,7 @@ def _words(text: Column) -> Column:
 
 def grams(words: Column) -> Column:
     """Distinct one- and two-grams."""
-    pairs = F.filter(F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))), lambda x: x.isNotNull())
+    pairs = F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
     return F.array_distinct(F.concat(words, pairs))
 
 
@@ -94,31 +97,54 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample_paragraphs(docs: DataFrame, n_docs: int, n: int) -> list[str]:
-    """At most ``n`` paragraphs without a gate word of at most ``n_docs`` documents, those with the lowest hashes of their ids."""
+def _template(notice: str) -> list[str]:
+    return sorted({w for w in re.split("[^a-z0-9]+", notice.lower()) if w and not w.isdigit()})
+
+
+def paragraphs(docs: DataFrame, *columns) -> DataFrame:
+    """(columns, paragraph, last, line): each line, and each block of several lines; paragraph and last are its first and last line."""
+    full = lambda x: F.coalesce(x.rlike(r"\S"), F.lit(False))
+    lines = F.col("_lines")
+    edge = lambda step: F.filter(F.transform(lines, lambda x, i: F.when(full(x) & ~full(F.get(lines, i + step)), i)), lambda i: i.isNotNull())
+    ends = edge(1)
+    piece = lambda a, b, x: F.struct(a.alias("paragraph"), b.alias("last"), x.alias("line"))
+    blocks = F.transform(F.arrays_zip(edge(-1).alias("a"), ends.alias("b")), lambda z: piece(z.a, z.b, F.array_join(F.slice(lines, z.a + 1, z.b - z.a + 1), "\n")))
+    pieces = F.concat(F.transform(lines, lambda x, i: piece(i, i, x)), F.filter(blocks, lambda z: z["last"] > z.paragraph))
+    return docs.select(*columns, F.split("text", "\n").alias("_lines")).select("*", F.inline(pieces)).drop("_lines").where(full(F.col("line")))
+
+
+def sample_paragraphs(docs: DataFrame, n_docs: int, n: int, same: float = 0.6) -> list[str]:
+    """At most ``n`` paragraphs of at most ``n_docs`` documents, those with the lowest hashes of their ids, without those that resemble a template."""
     ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(n_docs).distinct()
-    lines = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"], "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.where((F.col("line") != "") & ~F.lower("line").rlike(GATE)).select("doc_id", "i", F.substring("line", 1, 2000).alias("line"))
-    return [r.line for r in lines.orderBy("doc_id", "i", "line").limit(n).collect()]
+    lines = paragraphs(docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"], "left_semi"), "doc_id")
+    lines = lines.select("doc_id", "paragraph", "last", F.substring("line", 1, 2000).alias("line"))
+    templates = [set(_template(x)) for v in NOTICES.values() for x in v]
+    found = [r.line for r in lines.orderBy("doc_id", "paragraph", "last", "line").limit(n).collect()]
+    return [x for x in found if not any(len(t.intersection(_template(x))) >= same * len(t) for t in templates)]
 
 
 def scan_licenses(docs: DataFrame, sure: float = 0.5, same: float = 0.6, n_docs: int = 64, n_negatives: int = 400) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of each paragraph with a licence; paragraphs count from 0."""
     spark = docs.sparkSession
-    weights, bias, temperature, classes = fit(sample_paragraphs(docs, n_docs, n_negatives))
+    weights, bias, temperature, classes = fit(sample_paragraphs(docs, n_docs, n_negatives, same))
     # both tables are as large as the notices above, whatever the corpus
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")
-    notices = spark.createDataFrame([(k, sorted({w for w in re.split("[^a-z0-9]+", x.lower()) if w and not w.isdigit()})) for k, v in NOTICES.items() for x in v], "family string, template array<string>")
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.lower("line").rlike(GATE))
-    lines = lines.withColumn("words", _words(F.col("line"))).drop("line")
-    found = lines.select("row", "paragraph", F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram")
-    sums = found.groupBy("row", "paragraph").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))))
+    notices = spark.createDataFrame([(k, _template(x)) for k, v in NOTICES.items() for x in v], "family string, template array<string>")
+    lines = paragraphs(docs, "doc_id", F.monotonically_increasing_id().alias("row"))
+    lines = lines.select("doc_id", "row", "paragraph", "last", _words(F.col("line")).alias("words"))
+    found = lines.select("doc_id", "row", "paragraph", "last", F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram")
+    # the words of a template are all among the known grams
+    sums = found.groupBy("row", "paragraph", "last").agg(F.first("doc_id").alias("doc_id"), F.collect_list("gram").alias("words"), *(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))))
     z = F.array(*((F.col(f"z{i}") + bias[i]) / temperature for i in range(len(classes))))
-    logits = sums.select("row", "paragraph", z.alias("z")).withColumn("top", F.array_max("z"))
+    kept = ["doc_id", "row", "paragraph", "last", "words"]
+    logits = sums.select(*kept, z.alias("z")).withColumn("top", F.array_max("z"))
     family = F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int"))
     p = 1 / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
-    named = logits.select("row", "paragraph", family.alias("family"), p.alias("p")).where((F.col("family") != UNKNOWN) & (F.col("p") >= sure))
-    with_words = named.join(lines, ["row", "paragraph"]).join(F.broadcast(notices.groupBy("family").agg(F.collect_list("template").alias("templates"))), "family")
+    named = logits.select(*kept, family.alias("family"), p.alias("p")).where((F.col("family") != UNKNOWN) & (F.col("p") >= sure))
+    after = W.partitionBy("row", "family").orderBy("paragraph").rangeBetween(0, W.unboundedFollowing)
+    own = F.min(F.when(F.col("paragraph") == F.col("last"), F.col("paragraph"))).over(after)
+    named = named.withColumn("own", own).where("paragraph = last or own is null or own > last")
+    with_words = named.join(F.broadcast(notices.groupBy("family").agg(F.collect_list("template").alias("templates"))), "family")
     similarity = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(t)))
     out = with_words.withColumn("similarity", similarity)
     return out.select("doc_id", "paragraph", "family", F.col("p").alias("probability"), "similarity", (F.col("similarity") >= same).alias("confirmed"))

@@ -129,6 +129,18 @@ def test_license_scan(spark, prose, odd, clash, empty):
     assert license_scan.scan_licenses(twice).count() == 2
 
 
+def test_licences_without_a_keyword_and_over_lines(spark, prose):
+    body = prose(20, 3)
+    notes = {"Provided under the BSD 3-Clause terms": "bsd", "CC-BY-SA 4.0": "cc"}
+    texts = [f"{body[i]}\n{n}\n{body[i]}" for i, n in enumerate(notes)]
+    texts += [f"{body[4]}\n\nThis is free and\nunencumbered software released into\nthe public domain.\n\n{body[5]}"] + body[6:]
+    got = [(r.doc_id, r.paragraph, r.family) for r in license_scan.scan_licenses(frame(spark, texts)).collect()]
+    assert sorted(g for g in got if g[0] < 2) == [(i, 1, f) for i, f in enumerate(notes.values())]
+    assert {(2, "unlicense")} == {(d, f) for d, _, f in got if d >= 2}
+    pieces = license_scan.paragraphs(spark.createDataFrame([(1, "a\nb\n \nc\n\nd\ne\n")], "doc_id long, text string"), "doc_id").collect()
+    assert sorted((r.paragraph, r["last"], r.line) for r in pieces) == [(0, 0, "a"), (0, 1, "a\nb"), (1, 1, "b"), (3, 3, "c"), (5, 5, "d"), (5, 6, "d\ne"), (6, 6, "e")]
+
+
 # 4
 
 

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .storage import Scratch, bounded_batches
 from .text import U64, chunks, mix, shingle_sets
@@ -271,6 +272,13 @@ def _arrays(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], names=["s", "shingles"])
 
 
+def _classes(batches):
+    """(s, text) of (doc_id, text)."""
+    for b in batches:
+        ids = [set_id(s) for chunk in chunks(b.column(1)) for s in shingle_sets(chunk)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(1)], names=["s", "text"])
+
+
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, c): the least node of each node's component, for nodes with an edge.
 
@@ -303,6 +311,11 @@ FETCH = 1_000_000
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) of every row; component_id is the least doc_id that links reach."""
+    return _grouped(docs).drop("c")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The columns of near_duplicates, and c, the component's own label; null without words."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
@@ -319,6 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
     members = scratch.keep(sketch.select("doc_id", "s", "n"))
     reps = members.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    nameless = bool(reps.where("doc_id is null").limit(1).count()) if members.where("doc_id is null").limit(1).count() else False
     shared = scratch.keep(shared.join(keys, "key").join(reps.select("s", "n"), "s"))
     pick = shared.groupBy("s", "n").agg(F.max(F.struct("k", "key")).alias("top")).select("s", "n", "top.key", "top.k")
     bits = scratch.keep(sketch.where("bits is not null").select("s", "bits").join(pick.select("s"), "s", "left_semi").dropDuplicates(["s"]))
@@ -332,7 +346,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         hits = scratch.keep(where.join(bits, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=False), "tile long, s long"))
         wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"))
         fetch = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
-        arrays = scratch.keep(docs.join(fetch, "doc_id").select("s", "text").mapInArrow(_arrays, "s long, shingles binary"))
+        texts = docs.join(fetch, "doc_id").select("s", "text")
+        if nameless:  # classes without any id are fetched by the set itself
+            own = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(_classes, "s long, text string")
+            texts = texts.unionByName(own.join(wanted.where("doc_id is null").select("s"), "s", "left_semi").dropDuplicates(["s"]))
+        arrays = scratch.keep(texts.mapInArrow(_arrays, "s long, shingles binary"))
         out = scratch.keep(where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=True), "a long, b long"))
         for done in (arrays, wanted, hits):
             scratch.drop(done)
@@ -364,19 +382,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = connected(found, scratch)
     least = reps.select("s", F.col("doc_id").alias("d")).join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))
     by_comp = least.groupBy("c").agg(F.min("d").alias("component_id"))
-    label = least.join(by_comp, "c").select("s", "component_id")
+    label = least.join(by_comp, "c").select("s", "c", "component_id")
     return (members.join(label, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s")).alias("set_id"),
-            F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
+            F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "c"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each group: the rows whose id is the least of its component.
 
-    Of rows that repeat an id one stays. Rows without an id stay where no row with one is in their component, and share that fate.
+    Of rows that repeat an id one stays in each component. Rows without an id stay where no row with one is in their component, and share that fate.
     """
-    groups = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    groups = Scratch(docs.sparkSession, "groups").keep(groups)
+    scratch = Scratch(docs.sparkSession, "groups")
+    rows = scratch.keep(_grouped(docs).select("doc_id", "set_id", "component_id", "c"))
+    groups = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # most documents stay, so the list of ids grows with the input: never broadcast
-    out = docs.join(groups.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = groups.where("_kept is not null").groupBy("_kept").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs.join(groups.select(F.col("doc_id").alias("_kept")).hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    # an id doesn't tell the row: id and set do; of a component's rows with its least id those with the least set
+    named = groups.where("doc_id is not null").groupBy("doc_id", "c").agg(F.min("set_id").alias("set_id")).select("doc_id", "set_id")
+    kept = named.unionByName(groups.where("doc_id is null").select("doc_id", "set_id").distinct())
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.coalesce("set_id", F.lit(0)).alias("_of"))
+    names = docs.columns
+    at = names.index("text")
+
+    def tag(batches):
+        for b in batches:
+            ids = [set_id(s) for chunk in chunks(b.column(at)) for s in shingle_sets(chunk)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], names=[*names, "_set"])
+
+    bounded_batches(docs.sparkSession)
+    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    own = scratch.keep(tagged.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_set") == F.col("_of")), "left_semi"))
+    return own.where("doc_id is not null").dropDuplicates(["doc_id", "_set"]).unionByName(own.where("doc_id is null")).drop("_set")

@@ -390,6 +390,22 @@ def test_near_duplicates_odd(spark, odd, clash, empty):
     assert kept.columns == clash.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_null_and_repeated_ids(spark, prose):
+    a, b, c, d, e, g = prose(6, 71, 60, 80)
+    near = lambda t: " ".join("other" if k == 20 else w for k, w in enumerate(t.split()))
+    rows = [(1, a), (2, b), (2, b), (2, c), (3, d), (3, near(a)), (4, e), (4, near(e)), (None, g), (None, near(b)), (None, near(d)), (None, prose(1, 72)[0]), (None, ""), (None, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    groups = collections.Counter((r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(df).collect() if r.doc_id is None)
+    assert groups == {(None, None): 4, (None, 2): 1, (None, 3): 1}
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard_join.distinct_documents(df.repartition(3)).collect())
+    four = [t for i, t in kept if i == 4]
+    assert len(four) == 1 and four[0] in (e, near(e))
+    assert kept == collections.Counter([(1, a), (2, b), (2, c), (3, d), (4, four[0]), (None, g), (None, prose(1, 72)[0]), (None, ""), (None, None), (5, "")])
+    # classes without any id link to each other too
+    pair = spark.createDataFrame([(None, g), (None, near(g)), (None, near(near(g)) + " end"), (7, near(g) + " end of it")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.near_duplicates(pair).collect()} == {7}
+
+
 def test_bounds_are_bounds():
     rng = np.random.default_rng(3)
     for _ in range(200):

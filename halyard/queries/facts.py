@@ -160,7 +160,7 @@ def decimal_multiply(spark, sf_dir):
     return load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", L.mul(F.col("l_extendedprice"), F.col("l_discount")).cast("double").alias("m"))
 
 
-@query("WITH x AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_quantity AS w FROM lineitem WHERE l_orderkey <= 3000), e AS (SELECT *, 1000000.0 * w / sum(w) OVER (PARTITION BY g) AS x FROM x), f AS (SELECT *, floor(x) AS fl, 1000000 - sum(floor(x)) OVER (PARTITION BY g) AS rest FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(x - fl, 9) DESC, i) AS k FROM f) SELECT g, sum((fl + (k <= rest)::INT) / 10000)::DOUBLE AS total, max(i)::BIGINT AS n FROM r GROUP BY g", doubles="total")
+@query("WITH x AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_quantity AS w FROM lineitem), e AS (SELECT *, 1000000.0 * w / sum(w) OVER (PARTITION BY g) AS x FROM x), f AS (SELECT *, floor(x) AS fl, 1000000 - sum(floor(x)) OVER (PARTITION BY g) AS rest FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(x - fl, 9) DESC, i) AS k FROM f) SELECT g, sum((fl + (k <= rest)::INT) / 10000)::DOUBLE AS total, max(i)::BIGINT AS n FROM r GROUP BY g", doubles="total")
 def hamilton_allocation(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -179,10 +179,10 @@ def _stock(spark, sf_dir):
     return received, issued
 
 
-_STOCK = "rows AS (SELECT l_partkey AS item, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS k, l_quantity AS q, floor(l_extendedprice / l_quantity * 100) / 100 AS c FROM lineitem WHERE l_partkey <= 200), b AS (SELECT item, c, sum(q) OVER (PARTITION BY item ORDER BY k) AS hi, q FROM rows WHERE k % 3 > 0), i AS (SELECT item, k, q, sum(q) OVER (PARTITION BY item ORDER BY k) AS hi FROM rows WHERE k % 3 = 0)"
+_STOCK = "rows AS (SELECT l_partkey AS item, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS k, l_quantity AS q, floor(l_extendedprice / l_quantity * 100) / 100 AS c FROM lineitem), b AS (SELECT item, c, sum(q) OVER (PARTITION BY item ORDER BY k) AS hi, q FROM rows WHERE k % 3 > 0), i AS (SELECT item, k, q, sum(q) OVER (PARTITION BY item ORDER BY k) AS hi FROM rows WHERE k % 3 = 0)"
 
 
-@query(f"WITH {_STOCK} SELECT i.item, i.k::BIGINT AS issue_id, any_value(i.q) AS quantity, coalesce(sum(least(i.hi, b.hi) - greatest(i.hi - i.q, b.hi - b.q)), 0) AS filled, round(coalesce(sum((least(i.hi, b.hi) - greatest(i.hi - i.q, b.hi - b.q)) * b.c), 0), 4) AS cogs FROM i LEFT JOIN b ON i.item = b.item AND i.hi - i.q < b.hi AND b.hi - b.q < i.hi GROUP BY ALL", doubles="quantity filled cogs")
+@query(f"WITH {_STOCK} SELECT i.item, i.k::BIGINT AS issue_id, any_value(i.q) AS quantity, coalesce(sum(least(i.hi, b.hi) - greatest(i.hi - i.q, b.hi - b.q)) FILTER (b.item IS NOT NULL), 0) AS filled, round(coalesce(sum((least(i.hi, b.hi) - greatest(i.hi - i.q, b.hi - b.q)) * b.c), 0), 4) AS cogs FROM i LEFT JOIN b ON i.item = b.item AND i.hi - i.q < b.hi AND b.hi - b.q < i.hi GROUP BY ALL", doubles="quantity filled cogs")
 def fifo_cogs(spark, sf_dir):
     return L.issue(*_stock(spark, sf_dir), "item", "FIFO").withColumn("issue_id", F.col("issue_id").cast("long"))
 
@@ -197,7 +197,7 @@ def wac_cogs(spark, sf_dir):
     return L.issue(*_stock(spark, sf_dir), "item", "WAC")
 
 
-@query("WITH r AS (SELECT l_partkey AS item, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS k, l_quantity AS q, floor(l_extendedprice / l_quantity * 100) / 100 AS c FROM lineitem WHERE l_partkey <= 200) SELECT item, k::BIGINT AS batch_id, sum(q) OVER w AS running_quantity, sum(q * c) OVER w / sum(q) OVER w AS wac FROM r WHERE k % 3 > 0 WINDOW w AS (PARTITION BY item ORDER BY k)", doubles="running_quantity wac")
+@query("WITH r AS (SELECT l_partkey AS item, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS k, l_quantity AS q, floor(l_extendedprice / l_quantity * 100) / 100 AS c FROM lineitem) SELECT item, k::BIGINT AS batch_id, sum(q) OVER w AS running_quantity, sum(q * c) OVER w / sum(q) OVER w AS wac FROM r WHERE k % 3 > 0 WINDOW w AS (PARTITION BY item ORDER BY k)", doubles="running_quantity wac")
 def running_wac(spark, sf_dir):
     received, _ = _stock(spark, sf_dir)
     return L.running_wac(received, "item").select("item", F.col("batch_id").cast("long").alias("batch_id"), "running_quantity", "wac")

@@ -14,11 +14,18 @@ mass that the spellings share. The probability of a word is the sum over all
 paths. A text is the sequence of its lower-cased words and an end; white space
 between words is not modelled.
 
+All these probabilities exist once for each class of training texts: the
+languages (values of ``class_col``) with the most training rows, at most
+CLASSES of them, and the other rows together. A text's class is not read when it is
+scored: its probability is the sum over classes of the class's share of the
+training rows times the probability of the text in it.
+
 As a segmentation never crosses words, each distinct word is scored once. The
-commonest HOT words, a bounded table, are broadcast; the others meet the
+commonest words, some HOT of them, are broadcast; the others meet the
 documents' counts in a join on their hashes.
 
-Defined cases: null and empty texts are an end alone; with no training text
+Defined cases: null and empty texts are an end alone; a null class is a class
+like others; with no training text
 every count is 0, the base of each token is ``log10(1 / 1)``, pieces keep
 their starting values and the end of a text has that of a word's; repeated rows are scored one by one; an empty table gives an empty result; further columns are not read.
 """
@@ -33,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out
-from .storage import Scratch, bounded_batches
+from .storage import Scratch, bounded_batches, highest
 from .text import LOWER, PIECE, U64, Chunk, chunks, span_hashes, _BASE, _BASE_INV, _BYTE
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 1 << 18
+CLASSES = 8
 ROUNDS = 2
 MARK = "▁"
 SLOTS = 1 << 20
@@ -60,14 +68,14 @@ def read_vocabulary(path: str) -> list[tuple[bytes, float]]:
 
 
 class Lattice:
-    """Pieces 0.. are the vocabulary's, then 256 bytes, then the end."""
+    """Pieces 0.. are the vocabulary's, then 256 bytes, then the end; ``log_p`` has a column a class."""
 
     def __init__(self, pieces: list[tuple[bytes, float]], log_p: np.ndarray | None = None):
         self.n = len(pieces)
         self.longest = max((len(p) for p, _ in pieces), default=1)
         if log_p is None:
             known = np.array([s for _, s in pieces] or [0.0])
-            log_p = np.concatenate([known, np.full(257, known.min() - math.log(10))])
+            log_p = np.concatenate([known, np.full(257, known.min() - math.log(10))])[:, None]
             log_p -= np.logaddexp.reduce(log_p)
         self.log_p = log_p
         self.key, self.piece = np.zeros(SLOTS, U64), np.full(SLOTS, -1, np.int32)
@@ -116,27 +124,29 @@ class Lattice:
         p, m, k = np.concatenate(place), np.concatenate(length), np.concatenate(piece)
         return p + word[p], p + m + word[p], k, offset[p], m, word[p]
 
-    def forward(self, buf: np.ndarray, sizes: np.ndarray):
+    def forward(self, buf: np.ndarray, sizes: np.ndarray, of: slice = slice(None)):
+        """Log probabilities of all nodes and of all words, a column for each of the classes in ``of``."""
         a, b, k, offset, m, word = self.edges(buf, sizes)
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        alpha = np.full(int(sizes.sum()) + len(sizes), -np.inf)
+        weight = self.log_p[k, of]
+        alpha = np.full((int(sizes.sum()) + len(sizes), weight.shape[1]), -np.inf)
         alpha[first] = 0
-        weight = self.log_p[k]
         byte = k >= self.n
         for lo, hi, order in _steps((offset + m) * 128 + 2 * m + byte):
             e = order[lo:hi]
             alpha[b[e]] = np.logaddexp(alpha[b[e]], alpha[a[e]] + weight[e])
         return alpha, alpha[first + sizes], (a, b, k, offset, m, word, byte, weight, first)
 
-    def expect(self, buf: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, each word ``counts`` times."""
-        alpha, total, (a, b, k, offset, m, word, byte, weight, first) = self.forward(buf, sizes)
+    def expect(self, buf: np.ndarray, sizes: np.ndarray, of: int = 0) -> np.ndarray:
+        """Expected uses of each piece in a class, each word once."""
+        alpha, total, (a, b, k, offset, m, word, byte, weight, first) = self.forward(buf, sizes, slice(of, of + 1))
+        alpha, total, weight = alpha[:, 0], total[:, 0], weight[:, 0]
         beta = np.full(len(alpha), -np.inf)
         beta[first + sizes] = 0
         for lo, hi, order in reversed(list(_steps(offset * 128 + 2 * m + byte))):
             e = order[lo:hi]
             beta[a[e]] = np.logaddexp(beta[a[e]], beta[b[e]] + weight[e])
-        share = np.exp(alpha[a] + weight + beta[b] - total[word]) * counts[word]
+        share = np.exp(alpha[a] + weight + beta[b] - total[word])
         return np.bincount(k, share, minlength=self.n + 257)
 
 
@@ -160,7 +170,7 @@ def _steps(key: np.ndarray):
     return zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], [order] * (len(cuts) + 1), strict=True) if len(key) else ()
 
 
-def _word_blocks(column, size: int = 1 << 18):
+def _word_blocks(column, size: int = 1 << 17):
     """(first word, bytes with a space before each word, sizes) of at most ``size`` bytes, one word at least; short words and long ones apart."""
     words = column.to_pylist()
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -176,19 +186,26 @@ def _word_blocks(column, size: int = 1 << 18):
         at = to
 
 
-def _count(batches):
-    """(word, c, a): of each chunk's words, how often in training texts and in all."""
-    for b in batches:
-        train = b.column(1).to_numpy(zero_copy_only=False)
-        for chunk in chunks(b.column(0), 8 * PIECE):
-            starts, ends, firsts = chunk.words()
-            h = span_hashes(chunk.buf, starts, ends, lower=True)
-            learn = np.repeat(train[chunk.first : chunk.first + len(chunk)], np.diff(firsts))
-            _, first, which, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            low = LOWER[chunk.buf].tobytes()
-            words = [low[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            c = np.bincount(which, learn, minlength=len(first)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c), pa.array(counts)], names=["word", "c", "a"])
+def _count(n_classes: int):
+    """(word, c0, c1, ..., a): of each chunk's words, how often in the training texts of each class, and in all texts."""
+    def run(batches):
+        for b in batches:
+            kinds = b.column(1).to_numpy() + 1  # 0: not a training text
+            for chunk in chunks(b.column(0), 8 * PIECE):
+                starts, ends, firsts = chunk.words()
+                h = span_hashes(chunk.buf, starts, ends, lower=True)
+                kind = np.repeat(kinds[chunk.first : chunk.first + len(chunk)], np.diff(firsts))
+                _, first, which = np.unique(h, return_index=True, return_inverse=True)
+                low = LOWER[chunk.buf].tobytes()
+                words = [low[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                c = np.bincount(which * (n_classes + 1) + kind, minlength=len(first) * (n_classes + 1)).reshape(len(first), n_classes + 1)
+                columns = [pa.array(words, pa.binary()).cast(pa.string()), *(pa.array(c[:, k + 1]) for k in range(n_classes)), pa.array(c.sum(axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", *_class_columns(n_classes), "a"])
+    return run
+
+
+def _class_columns(n: int) -> list[str]:
+    return [f"c{k}" for k in range(n)]
 
 
 def word_hash(words: list[str]) -> np.ndarray:
@@ -197,59 +214,80 @@ def word_hash(words: list[str]) -> np.ndarray:
     return span_hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, lower=True)
 
 
-def lattice_scores(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, fold: int = 7, held: int = 2, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token) of every row."""
+def _classes(docs: DataFrame, class_col: str | None):
+    """A column with the number of a row's class, and how many training rows each class has."""
+    if class_col is None:
+        return F.lit(0), [docs.where(~F.col("held_out")).count()]
+    by = docs.where(~F.col("held_out")).groupBy(class_col).count()
+    named = by.orderBy(F.desc("count"), F.col(class_col).asc_nulls_last()).limit(CLASSES).collect()
+    rows = [r["count"] for r in named]
+    rest = (by.agg(F.sum("count")).first()[0] or 0) - sum(rows)
+    number = F.lit(len(rows) if rest else 0)
+    for k, r in reversed(list(enumerate(named))):
+        number = F.when(F.col(class_col).eqNullSafe(F.lit(r[class_col])), k).otherwise(number)
+    return number, rows + [rest] * (rest > 0) or [0]
+
+
+def lattice_scores(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, fold: int = 7, held: int = 2, rounds: int = ROUNDS, class_col: str | None = "lang") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "lattice")
-    docs = docs.select("doc_id", "text", held_out(fold=fold, rest=held).alias("held_out"))
+    docs = docs.select("doc_id", "text", *([class_col] if class_col else []), held_out(fold=fold, rest=held).alias("held_out"))
     pieces = read_vocabulary(vocabulary)
-    counted = docs.select("text", (~F.col("held_out")).alias("t")).mapInArrow(_count, "word string, c long, a long")
-    words = scratch.keep(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a")))
-    texts = docs.where(~F.col("held_out")).count()
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), *(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
-    total, distinct = seen[0] + texts, seen[1] + (texts > 0)
-    cut, spread = discounts(seen[2:], seen[1] + (texts > 0), total)
-    log_p = None
-    for _ in range(rounds if seen[1] else 0):
+    number, texts = _classes(docs, class_col)
+    n_classes = len(texts)
+    own = _class_columns(n_classes)
+    kind = F.when(F.col("held_out"), -1).otherwise(number).cast("long")
+    counted = docs.select("text", kind.alias("kind")).mapInArrow(_count(n_classes), f"word string, {', '.join(f'{c} long' for c in own)}, a long")
+    words = scratch.keep(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in [*own, "a"])))
+    every = sum((F.col(c) for c in own[1:]), F.col(own[0]))
+    seen = words.agg(F.count_if(every > 0), *(x for c in own for x in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), *(F.count_if(F.col(c) == k) for k in (1, 2, 3, 4))))).first()
+    per_class = [seen[1 + 6 * k : 7 + 6 * k] for k in range(n_classes)]
+    totals = [x[0] + t for x, t in zip(per_class, texts, strict=True)]
+    total, distinct = sum(totals), seen[0] + (sum(texts) > 0)
+    cuts, spreads = zip(*(discounts(x[2:], x[1] + (t > 0), n) for x, t, n in zip(per_class, texts, totals, strict=True)), strict=True)
+    log_p = np.repeat(Lattice(pieces).log_p, n_classes, axis=1)
+    for _ in range(rounds if seen[0] else 0):
         log_p = _reestimate(spark, words, pieces, log_p)
-    lattice = Lattice(pieces, log_p)
-    unseen = math.log10(1 / (total + distinct + 1))
-    known = lambda c: math.log10((c + 1) / (total + distinct + 1))
-    shared = spark.sparkContext.broadcast((pieces, lattice.log_p))
+    shared = spark.sparkContext.broadcast((pieces, log_p))  # as large as the vocabulary
     made: list[Lattice] = []
 
     def score(batches):
         if not made:
             made.append(Lattice(*shared.value))
         for b in batches:
-            out = np.zeros(b.num_rows)
+            out = np.zeros((b.num_rows, n_classes))
             for rows, buf, sizes in _word_blocks(b.column(0)):
                 out[rows] = made[0].forward(buf, sizes)[1] + made[0].log_p[-1]
-            c = b.column(1).to_numpy()
+            c = np.stack([b.column(name).to_numpy() for name in own], axis=1)
+            cut = np.stack([np.array(cuts[k])[np.minimum(c[:, k], 3)] for k in range(n_classes)], axis=1)
             with np.errstate(divide="ignore"):
-                whole = np.log((c - np.array(cut)[np.minimum(c, 3)]) / max(total, 1))
-            out = np.logaddexp(whole, math.log(spread) + out) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(word_hash(b.column(0).to_pylist()).view(np.int64)), b.column(1), b.column(2), pa.array(out)], names=["h", "c", "a", "lp"])
+                whole = np.log((c - cut) / np.maximum(totals, 1))
+                out = np.logaddexp(whole, np.log(spreads) + out) / math.log(10)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * n_classes), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(word_hash(b.column(0).to_pylist()).view(np.int64)), pa.array(c.sum(axis=1)), b.column("a"), lists], names=["h", "c", "a", "lp"])
 
-    scored = scratch.keep(words.mapInArrow(score, "h long, c long, a long, lp double"))
+    scored = scratch.keep(words.mapInArrow(score, "h long, c long, a long, lp array<double>"))
     scratch.drop(words)
-    common = scored.orderBy(F.desc("a"), "h").limit(HOT).toArrow().sort_by("h")
-    hot = spark.sparkContext.broadcast(tuple(common.column(c).to_numpy() for c in ("h", "c", "lp")))  # HOT rows at most
+    common = highest(scored, "a", "h", HOT).select("h", "c", "lp").toArrow().sort_by("h").combine_chunks()
+    lp = pa.chunked_array(common.column("lp")).combine_chunks().flatten().to_numpy().reshape(-1, n_classes)
+    hot = spark.sparkContext.broadcast((common.column("h").to_numpy(), common.column("c").to_numpy(), lp))  # some HOT rows
+    size = float(total + distinct + 1)
 
     def meet(batches):
         keys, c, lp = hot.value
-        base = np.log10((c + 1) / (total + distinct + 1))
+        tables = np.column_stack([c > 0, np.log10((c + 1) / size), lp])
         for b in batches:
             for chunk in chunks(b.column(1)):
                 starts, ends, firsts = chunk.words()
                 h = span_hashes(chunk.buf, starts, ends, lower=True).view(np.int64)
-                doc = np.repeat(np.arange(len(chunk)), np.diff(firsts))
+                n = len(chunk)
+                doc = np.repeat(np.arange(n), np.diff(firsts))
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 d, a = doc[found], at[found]
-                n = len(chunk)
-                sums = [np.bincount(d, x[a], minlength=n) for x in ((c > 0).astype(float), base, lp)]
+                sums = np.column_stack([np.diff(firsts), *(np.bincount(d, x[a], minlength=n) for x in tables.T)]).astype(float)
                 rest_doc, rest = doc[~found], h[~found]
                 order = np.lexsort((rest, rest_doc))
                 rest_doc, rest = rest_doc[order], rest[order]
@@ -257,25 +295,31 @@ def lattice_scores(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, fold:
                 new[1:] = (rest[1:] != rest[:-1]) | (rest_doc[1:] != rest_doc[:-1])
                 edge = np.flatnonzero(new)
                 k = np.diff(np.append(edge, len(rest)))
-                ids = b.column(0).slice(chunk.first, n)
-                row = ids.to_numpy()
-                m = len(edge)
+                row = b.column(0).slice(chunk.first, n).to_numpy()
+                m, width = len(edge), sums.shape[1]
+                # a row a document with its sums over common words (its key is of no word), and one a word that isn't common
+                offsets = np.minimum(np.arange(n + m + 1), n) * width
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sums.ravel()), mask=pa.array(np.arange(n + m) >= n))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([row, row[rest_doc[edge]]])), pa.array(np.concatenate([row * 0x5DEECE66D ^ 0x2545F4914F6CDD1D, rest[edge]])), pa.array(np.concatenate([np.zeros(n, np.int64), k])),
-                    pa.array(np.concatenate([np.diff(firsts), np.zeros(m, np.int64)])), *(pa.array(np.concatenate([s, np.zeros(m)])) for s in sums)], names=["r", "h", "k", "n", "known", "base", "lp"])
+                    pa.array(np.concatenate([row, row[rest_doc[edge]]])), pa.array(np.concatenate([row * 0x5DEECE66D ^ 0x2545F4914F6CDD1D, rest[edge]])),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), k])), lists], names=["r", "h", "k", "sums"])
 
     rows = docs.withColumn("r", F.monotonically_increasing_id())
-    met = rows.select("r", "text").mapInArrow(meet, "r long, h long, k long, n long, known double, base double, lp double")
+    met = rows.select("r", "text").mapInArrow(meet, "r long, h long, k long, sums array<double>")
     rest = scored.select("h", F.col("c").alias("wc"), F.col("lp").alias("wlp"))
-    rest_base = F.when(F.col("wc") > 0, F.log10((F.col("wc") + 1) / F.lit(float(total + distinct + 1)))).otherwise(F.lit(unseen))
-    sums = (met.join(rest, "h", "left").groupBy("r").agg(
-        F.sum("n").alias("n"), F.sum(F.col("known") + F.when((F.col("wc") > 0), F.col("k")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(F.col("k") > 0, F.col("k") * rest_base).otherwise(0)).alias("base"),
-        F.sum(F.col("lp") + F.when(F.col("k") > 0, F.col("k") * F.coalesce("wlp", F.lit(0.0))).otherwise(0)).alias("lp")))
-    end_base, end_lp = known(texts), math.log10((texts - cut[min(texts, 3)]) / total) if texts else lattice.log_p[-1] / math.log(10)
-    return (rows.select("r", "doc_id", "held_out").join(sums, "r").select(
-        "doc_id", "held_out", (F.col("n") + 1).cast("long").alias("n_tokens"), (F.col("known") + int(texts > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + end_base).alias("base_score"), (F.col("lp") + end_lp).alias("score")))
+    part = lambda i, other: F.sum(F.coalesce(F.get("sums", F.lit(i)), F.col("k") * other, F.lit(0.0)))
+    sums = met.join(rest, "h", "left").groupBy("r").agg(
+        part(0, F.lit(0.0)).alias("n"), part(1, (F.col("wc") > 0).cast("double")).alias("known"), part(2, F.log10((F.col("wc") + 1) / F.lit(size))).alias("base"),
+        *(part(3 + k, F.get("wlp", F.lit(k))).alias(f"lp{k}") for k in range(n_classes)))
+    n_texts = sum(texts)
+    end_base = math.log10((n_texts + 1) / size)
+    ends = [math.log10((t - cuts[k][min(t, 3)]) / totals[k] * t / n_texts) if t else log_p[-1, k] / math.log(10) for k, t in enumerate(texts)]
+    by_class = F.array(*(F.col(f"lp{k}") + ends[k] for k in range(n_classes)))
+    best = F.array_max("by_class")
+    score_of = best + F.log10(F.aggregate("by_class", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - best)))
+    return (rows.select("r", "doc_id", "held_out").join(sums, "r").withColumn("by_class", by_class).select(
+        "doc_id", "held_out", (F.col("n") + 1).cast("long").alias("n_tokens"), (F.col("known") + int(n_texts > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + end_base).alias("base_score"), score_of.alias("score")))
 
 
 def discounts(n: tuple[int, ...], distinct: int, total: int) -> tuple[list[float], float]:
@@ -289,24 +333,27 @@ def discounts(n: tuple[int, ...], distinct: int, total: int) -> tuple[list[float
     return cut, freed / total
 
 
-def _reestimate(spark, words: DataFrame, pieces, log_p) -> np.ndarray:
-    """Piece log probabilities from expected counts over all distinct training words; what comes back is one row a piece and no more."""
+def _reestimate(spark, words: DataFrame, pieces, log_p: np.ndarray) -> np.ndarray:
+    """Piece log probabilities from expected counts over all distinct training words of each class; what comes back is a row a piece and class and no more."""
     shared = spark.sparkContext.broadcast((pieces, log_p))
+    n_classes = log_p.shape[1]
 
     def expect(batches):
         lattice, total = None, None
         for b in batches:
             if lattice is None:
                 lattice = Lattice(*shared.value)
-                total = np.zeros(lattice.n + 257)
-            for rows, buf, sizes in _word_blocks(b.column(0)):
-                total += lattice.expect(buf, sizes, np.ones(len(rows)))
-                total[-1] += len(rows)
+                total = np.zeros((lattice.n + 257, n_classes))
+            for k in range(n_classes):
+                own = b.column(0).filter(pa.array(b.column(k + 1).to_numpy() > 0))
+                for _, buf, sizes in _word_blocks(own):
+                    total[:, k] += lattice.expect(buf, sizes, k)
+                    total[-1, k] += len(sizes)
         if total is not None:
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
+            piece, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], names=["piece", "class", "uses"])
 
-    got = words.where("c > 0").select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").toArrow()
-    uses = np.full(len(pieces) + 257, 1e-3)
-    uses[got.column(0).to_numpy()] += got.column(1).to_numpy()
-    return np.log(uses / uses.sum())
+    got = words.select("word", *_class_columns(n_classes)).mapInArrow(expect, "piece long, class long, uses double").groupBy("piece", "class").agg(F.sum("uses").alias("uses")).orderBy("piece", "class").toArrow()
+    uses = np.full(log_p.shape, 1e-3)
+    uses[got.column("piece").to_numpy(), got.column("class").to_numpy()] += got.column("uses").to_numpy()
+    return np.log(uses / uses.sum(axis=0))

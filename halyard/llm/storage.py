@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +31,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def highest(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
+    """About ``n`` rows with the greatest ``size``, a whole number above 0; fewer rows are all of them.
+
+    A histogram of sizes gives the least size to take, and a hash of ``key``
+    the share of the rows of that size, so no task sees more than its own rows.
+    """
+    step = F.floor(F.when(F.col(size) < 64, F.col(size)).otherwise(64 * (F.log2(F.col(size) / 64) + 1))).cast("long")
+    left, least, share = n, 0, 1.0
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # 64 steps to a doubling at most
+        if r["count"] > left:
+            least, share = r.step, left / r["count"]
+            break
+        left -= r["count"]
+    part = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < math.floor(share * (1 << 20))
+    return df.where((step > least) | (step == least) & part)
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder and read back without their lineage."""
 

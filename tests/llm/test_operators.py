@@ -64,26 +64,28 @@ def test_token_attribution(spark, odd, clash, empty):
 # 2
 
 
-def brute_lattice(lat, pieces, word):
+def brute_lattice(lat, pieces, word, k=0):
     ids = {p: i for i, (p, _) in enumerate(pieces)}
     w = b" " + word.encode()
     a = [0.0] + [-math.inf] * len(w)
     for j in range(1, len(w) + 1):
-        a[j] = np.logaddexp.reduce([a[j - 1] + lat.log_p[lat.n + w[j - 1]]] + [a[i] + lat.log_p[ids[w[i:j]]] for i in range(j) if w[i:j] in ids])
+        a[j] = np.logaddexp.reduce([a[j - 1] + lat.log_p[lat.n + w[j - 1], k]] + [a[i] + lat.log_p[ids[w[i:j]], k] for i in range(j) if w[i:j] in ids])
     return a[-1]
 
 
 def test_lattice_recursion():
     pieces = [(b" a", -1.0), (b"a", -2.0), (b"ab", -1.5), (b"b", -2.5), (b" ab", -3.0), (b"ba", -2.0), ("é".encode(), -4.0)]
-    lat = lattice_lm.Lattice(pieces)
+    one = lattice_lm.Lattice(pieces).log_p
+    other = np.random.default_rng(1).normal(-5, 1, one.shape)
+    lat = lattice_lm.Lattice(pieces, np.hstack([one, other]))
     words = ["a", "ab", "abab", "bbba", "é", "zé", "x" * 300]
     for rows, buf, sizes in lattice_lm._word_blocks(pa.array(words)):
         got = lat.forward(buf, sizes)[1]
         for r, v in zip(rows, got, strict=True):
-            assert v == pytest.approx(brute_lattice(lat, pieces, words[r]))
-        uses = lat.expect(buf, sizes, np.ones(len(rows)))
+            assert v.tolist() == pytest.approx([brute_lattice(lat, pieces, words[r], k) for k in (0, 1)])
         lengths = np.array([len(p) for p, _ in pieces] + [1] * 256 + [0])
-        assert (uses * lengths).sum() == pytest.approx(sizes.sum())  # every byte lies under one piece
+        for k in (0, 1):
+            assert (lat.expect(buf, sizes, k) * lengths).sum() == pytest.approx(sizes.sum())  # every byte lies under one piece
 
 
 def test_lattice_scores(spark, prose, odd, clash, empty):
@@ -102,6 +104,58 @@ def test_lattice_scores(spark, prose, odd, clash, empty):
     assert lattice_lm.lattice_scores(empty).count() == 0
 
 
+def brute_scores(texts, langs, held):
+    """log10 of the sum over languages of their share of the training texts times the text's probability in them; spellings as the vocabulary's scores have them."""
+    lat = lattice_lm.Lattice(lattice_lm.read_vocabulary(lattice_lm.DEFAULT_VOCABULARY))
+    vocabulary = lattice_lm.read_vocabulary(lattice_lm.DEFAULT_VOCABULARY)
+    words = [WORD.findall(lower(t)) for t in texts]
+    out = [[] for _ in texts]
+    for lang in sorted(set(langs), key=str):
+        own = [w for w, x, h in zip(words, langs, held, strict=True) if x == lang and not h]
+        c = collections.Counter(x for w in own for x in w)
+        total, of = sum(c.values()) + len(own), collections.Counter(c.values())
+        cut, spread = lattice_lm.discounts((of[1], of[2], of[3], of[4]), len(c) + 1, total)
+        prob = lambda x: (max(c[x] - cut[min(c[x], 3)], 0) / total) + spread * math.exp(brute_lattice(lat, vocabulary, x) + lat.log_p[-1, 0])  # noqa: B023, E731
+        for i, w in enumerate(words):
+            out[i].append(math.log(len(own) / held.count(False) * (len(own) - cut[min(len(own), 3)]) / total) + sum(math.log(prob(x)) for x in w))
+    return [np.logaddexp.reduce(x) / math.log(10) for x in out]
+
+
+def test_classes_of_the_language_model(spark, prose, monkeypatch):
+    texts = prose(24, 8, 5, 12) + [t.upper().replace("E", "é") for t in prose(16, 9, 5, 12)] + [None, "", "the unheard-of word"]
+    langs = ["en"] * 24 + [None] * 16 + ["en", None, "en"]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df, rounds=0).collect()}
+    want = brute_scores(texts, langs, held)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+    assert brute_scores(texts, ["en"] * len(texts), held) == pytest.approx([r.score for r in lattice_lm.lattice_scores(df, rounds=0, class_col=None).orderBy("doc_id").collect()])
+    # languages beyond the most common ones are one class
+    monkeypatch.setattr(lattice_lm, "CLASSES", 1)
+    three = df.withColumn("lang", F.when(F.col("doc_id") == 30, "xx").otherwise(F.col("lang")))
+    assert {r.doc_id: r.score for r in lattice_lm.lattice_scores(three, rounds=0).collect()} == pytest.approx(got)
+
+
+def test_language_model_beats_the_base(spark, prose):
+    own = {"en": "th er on an re", "de": "sch ung ei ch ge"}
+    rng, texts = random.Random(3), []
+    for i in range(400):
+        lang = ("en", "de")[i % 2]
+        word = lambda: "".join(rng.choice(own[lang].split()) for _ in range(rng.randint(1, 4)))  # noqa: B023, E731
+        texts.append((i, " ".join(word() for _ in range(60)), lang))
+    rows = lattice_lm.lattice_scores(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
+    for part in (True, False):
+        assert sum(r.score for r in rows if r.held_out == part) > sum(r.base_score for r in rows if r.held_out == part)
+
+
+def test_highest(spark):
+    from halyard.llm.storage import highest
+
+    df = spark.range(10_000).select("id", (F.col("id") % 1000 + 1).alias("n"))
+    got = sorted(r.n for r in highest(df, "n", "id", 100).collect())
+    assert 60 <= len(got) <= 130 and got[0] >= 980 and highest(df, "n", "id", 20_000).count() == 10_000 and highest(df.limit(0), "n", "id", 5).count() == 0
+
+
 def test_rare_words_meet_in_the_join(spark, prose, monkeypatch):
     df = frame(spark, prose(30, 5))
     want = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lattice_lm.lattice_scores(df, rounds=0).collect()}

@@ -81,15 +81,19 @@ class Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of words in ``buf``; the index of each document's first word, with the total last."""
-        inside = ~SPACE[self.buf]
-        begins, stops = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        stops[:-1] &= ~inside[1:]
-        edges = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
-        begins[edges] = inside[edges]
-        stops[edges[1:] - 1] = inside[edges[1:] - 1]
-        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        return starts, ends, np.searchsorted(starts, self.offsets)
+        return runs(~SPACE[self.buf], self.offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true places, none across a document's edge; the index of each document's first run, with the total last."""
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[edges] = inside[edges]
+    stops[edges[1:] - 1] = inside[edges[1:] - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -2,22 +2,29 @@
 
 The lexicon comes from labelled texts: words, and beginnings of words, that
 stand far more often in toxic texts than in others. Its trie is intersected
-with the automaton of edit distance one (for words of five bytes or more) and
-made deterministic once, so that all words of a chunk run through one table,
-byte by byte, until they can no longer match. An edit is of one byte of UTF-8.
-
-A hit counts as quoted if quotation marks enclose it within its window of
-words or a word of reporting stands there, else as abuse. Counts of exact,
-stem, misspelt and quoted hits and their density weigh in a logistic model fitted on the same
+with the automaton of edit distance one (for all terms of five letters or more,
+words and beginnings alike) and made deterministic once, so that all words of a chunk
+run through one table, letter by letter, until they can no longer match. A
+letter is a code point, and case is folded code point by code point, in learning as in scanning.
+
+A word is a run without white space, less the marks around it; where it doesn't match,
+its runs of letters and digits are tried. A hit counts as quoted if quotation
+marks enclose it within its window of words or a word of reporting stands there, else as abuse.
+Counts of exact, stem, misspelt, misspelt stem and quoted hits and their density weigh in a logistic model fitted on the same
 sample.
 
+Bounds that are parameters: ``per_class`` labelled documents a class to learn from,
+and the ``limit`` terms with the highest log odds in the lexicon.
+
 Defined cases: a null or empty text has no hits and scores the intercept; if
 the sample lacks a class, scores are the share of label 1 (0.5 without rows);
-repeated rows score alike; columns other than doc_id and text are not read.
+repeated rows score alike; columns other than doc_id and text are not read;
+bytes that are no UTF-8 count as marks.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,99 +33,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_sample
-from .text import LOWER, chunks
+from .text import SPACE, Chunk, chunks, runs
 
-EXACT, STEM, FUZZY = 1, 2, 4
+EXACT, STEM, FUZZY, NEAR_STEM = 1, 2, 4, 8
+KINDS = (EXACT, STEM, FUZZY, NEAR_STEM)
 #: Words that report what somebody said.
 REPORTING = {"said", "says", "wrote", "writes", "called", "quoted", "quote", "quotes", "according", "reported", "claimed", "dijo", "dit", "sagte"}
 SPAN = 8
-TRIM = np.ones(256, bool)
-TRIM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
-
-
-def lexicon(sample: DataFrame, min_docs: int = 5, min_log_odds: float = 3.0, limit: int = 256) -> list[tuple[str, bool, float]]:
-    """(term, whether it is the beginning of a word, log odds) learnt from (text, y); at most ``limit`` terms."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
-    forms = lambda w: F.array(w, *(F.concat(F.substring(w, 1, n), F.lit("*")) for n in range(4, 9)))
-    terms = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4)), forms)))
+#: Code points with case or a category of their own lie below this; those above are letters.
+PLANES = 0x20000
+FOLD = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(PLANES)], np.uint32)
+LETTER = np.array([unicodedata.category(chr(i))[0] in "LN" for i in range(PLANES)])
+
+
+class Letters:
+    """A chunk's documents as folded code points, with its words and their places in them."""
+
+    def __init__(self, chunk: Chunk):
+        data = chunk.buf.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True)]
+        self.text = "".join(texts)
+        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        below = np.minimum(points, PLANES - 1)
+        self.letter = LETTER[below] | (points >= PLANES)
+        self.points = np.where(points < PLANES, FOLD[below], points)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        self.starts, self.ends, self.firsts = runs((points > 255) | ~SPACE[np.minimum(points, 255)], self.offsets)
+
+    def trimmed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words without the marks around them; a word of marks is empty."""
+        at = np.flatnonzero(self.letter)
+        lo, hi = np.searchsorted(at, self.starts), np.searchsorted(at, self.ends)
+        full = hi > lo
+        a, b = self.starts.copy(), self.starts.copy()
+        a[full], b[full] = at[lo[full]], at[hi[full] - 1] + 1
+        return a, b
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and words of the runs of letters and digits."""
+        a, b, _ = runs(self.letter, self.offsets)
+        return a, b, np.searchsorted(self.starts, a, "right") - 1
+
+
+def _vocabulary(batches):
+    """(y, terms): each text's distinct words of four letters or more and their beginnings (marked with a star)."""
+    for b in batches:
+        out = []
+        for chunk in chunks(b.column(0)):
+            at = Letters(chunk)
+            a, b_, word = at.pieces()
+            text = at.points.astype("<u4").tobytes().decode("utf-32-le", "replace")
+            doc = np.searchsorted(at.firsts, word, "right") - 1
+            cut = np.searchsorted(doc, np.arange(len(chunk) + 1))
+            for i in range(len(chunk)):
+                words = {text[x:y] for x, y in zip(a[cut[i] : cut[i + 1]].tolist(), b_[cut[i] : cut[i + 1]].tolist(), strict=True) if y - x >= 4}
+                out.append(sorted(words | {w[:n] + "*" for w in words for n in range(4, min(len(w), 8) + 1)}))
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.string()))], names=["y", "terms"])
+
+
+def lexicon(sample: DataFrame, min_docs: int = 5, min_log_odds: float = 3.0, limit: int = 1024) -> list[tuple[str, bool, float]]:
+    """(term, whether it is the beginning of a word, log odds) learnt from (text, y); at most ``limit`` terms.
+
+    A beginning of four letters gets no edits, so the longest beginning that nine
+    in ten of its texts have comes with it. Words under a beginning that has edits are left out.
+    """
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return []
     odds = F.log((F.col("pos") + 0.5) / (totals[1] + 1.0) / ((F.col("neg") + 0.5) / (totals[0] + 1.0)))
-    found = (sample.select("y", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    terms = sample.select("text", "y").mapInArrow(_vocabulary, "y int, terms array<string>").select("y", F.explode("terms").alias("term"))
+    found = (terms.groupBy("term").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
              .where(F.col("pos") >= min_docs).withColumn("odds", odds).where(F.col("odds") >= min_log_odds)
-             .orderBy(F.desc("pos"), "term").limit(20 * limit).collect())
+             .orderBy(F.desc("odds"), "term").limit(20 * limit).collect())
     out: dict[tuple[str, bool], float] = {}
-    stems: set[str] = set()
-    best = max((r.odds for r in found), default=0)
-    for r in sorted(found, key=lambda r: (len(r.term), r.term)):
-        if r.term.endswith("*") and r.odds >= max(min_log_odds + 1, best - 3) and not any(r.term.startswith(s) for s in stems):
-            stems.add(r.term[:-1])
-            out[r.term[:-1], True] = r.odds
+    begins = sorted((r for r in found if r.term.endswith("*")), key=lambda r: (len(r.term), r.term))
+    best, stems = max((r.odds for r in found), default=0), set()
+    for r in begins:
+        stem = r.term[:-1]
+        if r.odds >= max(min_log_odds + 1, best - 3) and not any(stem.startswith(s) for s in stems):
+            stems.add(stem)
+            out[stem, True] = r.odds
+            longer = [x for x in begins if x.term.startswith(stem) and len(x.term) > len(r.term) and 10 * x.pos >= 9 * r.pos]
+            if longer:
+                out[longer[-1].term[:-1], True] = longer[-1].odds
+    edited = tuple(s for s, _ in out if len(s) >= MIN_EDITED)
     for r in found:
-        if not r.term.endswith("*") and (len(r.term) >= 5 and r.pos >= 4 * min_docs or not any(r.term.startswith(s) for s in stems)):
+        if not r.term.endswith("*") and not r.term.startswith(edited):
             out[r.term, False] = r.odds
     ranked = sorted(out.items(), key=lambda x: (-x[1], x[0]))[:limit]
     return [(t, s, o) for (t, s), o in ranked]
 
 
+MIN_EDITED = 5
+_FOUND = (-1, 1)  # a misspelt stem that has been read
+
+
 @dataclass
 class Automaton:
-    """``table[state, class]`` is the next state, ``flags[state]`` what a word that ends there is; state 0 is dead, 1 the start."""
+    """``table[state, class]`` is the next state, ``flags[state]`` what a word that ends there is; state 0 is dead, 1 the start, 2 a stem, 3 nothing but a misspelt stem."""
 
     table: np.ndarray
     flags: np.ndarray
     classes: np.ndarray
 
-    def match(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def match(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         state, flags, sizes = np.ones(len(starts), np.int32), np.zeros(len(starts), np.uint8), ends - starts
         live, k = np.flatnonzero(sizes > 0), 0
         while len(live):
-            state[live] = self.table[state[live], self.classes[buf[starts[live] + k]]]
+            now = self.table[state[live], self.classes[np.minimum(points[starts[live] + k], PLANES - 1)]]
             k += 1
-            ended = sizes[live] == k
-            flags[live[ended]] = self.flags[state[live[ended]]]
-            live = live[~ended & (state[live] > 0)]
-            # a stem that is found stays found
-            sure = state[live] == 2
-            flags[live[sure]] = STEM
-            live = live[~sure]
+            state[live] = now
+            # what a word that ends here is; a stem that is found stays found
+            over = (sizes[live] == k) | (now == 2) | (now == 3)
+            flags[live[over]] = self.flags[now[over]]
+            live = live[~over & (now > 0)]
         return flags
 
 
-def compile_automaton(terms: list[tuple[str, bool, float]], fuzzy_min: int = 5, fuzzy_terms: int = 96) -> Automaton:
+def compile_automaton(terms: list[tuple[str, bool, float]]) -> Automaton:
     """The lexicon's trie with the Levenshtein automaton, by subsets of (trie node, edits)."""
-    children: list[dict[int, int]] = [{}]
-    whole, stem = set(), set()
-
-    def insert(data: bytes) -> list[int]:
+    children: list[dict[str, int]] = [{}]
+    whole, stem, near = {0: set(), 1: set()}, {0: set(), 1: set()}, set()
+    for term, is_stem, _ in terms:
         path = [0]
-        for c in data:
+        for c in term:
             path.append(children[path[-1]].setdefault(c, len(children)))
             if path[-1] == len(children):
                 children.append({})
-        return path
-
-    for term, is_stem, _ in terms:
-        (stem if is_stem else whole).add(insert(term.encode())[-1])
-    ranked = [t for t in terms if not t[1] and len(t[0].encode()) >= fuzzy_min][:fuzzy_terms]
-    near = {n for t in ranked for n in insert(t[0].encode())}
+        for e in (0, 1) if len(term) >= MIN_EDITED else (0,):
+            (stem if is_stem else whole)[e].add(path[-1])
+        if len(term) >= MIN_EDITED:
+            near.update(path)
     letters = sorted({c for kids in children for c in kids})
-    classes = np.zeros(256, np.uint8)
-    for i, c in enumerate(letters):
-        classes[c] = i + 1
-    by_byte = classes[LOWER]
+    number_of = {c: i + 1 for i, c in enumerate(letters)}
+    classes = np.zeros(PLANES, np.uint16)
+    for c, i in number_of.items():
+        if ord(c) < PLANES - 1:
+            classes[ord(c)] = i
 
     def close(states: set[tuple[int, int]]) -> frozenset:
         out = set(states)
         for node, e in states:
             if e == 0 and node in near:
                 out.update((kid, 1) for kid in children[node].values() if kid in near)  # a letter left out
-        return frozenset(s for s in out if not (s[1] == 1 and (s[0], 0) in out))
+        if any(e == 1 and n in stem[1] for n, e in out):
+            out.add(_FOUND)
+        return frozenset(s for s in out if s == _FOUND or not (s[1] == 1 and (s[0], 0) in out))
 
-    def step(states: frozenset, c: int | None) -> frozenset:
+    def step(states: frozenset, c: str | None) -> frozenset:
         out = set()
         for node, e in states:
+            if (node, e) == _FOUND:
+                out.add(_FOUND)
+                continue
             kid = children[node].get(c) if c is not None else None
             if kid is not None and (e == 0 or kid in near):
                 out.add((kid, e))
@@ -127,64 +194,77 @@ def compile_automaton(terms: list[tuple[str, bool, float]], fuzzy_min: int = 5,
                 out.update((k, 1) for k in children[node].values() if k in near)  # another letter
         return close(out)
 
-    begin = close({(0, 0)})
-    number, todo, table = {begin: 1}, [begin], {0: [0] * (len(letters) + 1), 2: [2] * (len(letters) + 1)}
-    flags = {0: 0, 1: 0, 2: STEM}
+    begin, number, rows, flags, todo = close({(0, 0)}), {}, {}, {0: 0, 2: STEM, 3: NEAR_STEM}, []
+
+    def place(states: frozenset) -> int:
+        if not states:
+            return 0
+        if any(e == 0 and n in stem[0] for n, e in states):
+            return 2
+        if states == {_FOUND}:
+            return 3
+        if states not in number:
+            number[states] = at = len(number) + 4 if number else 1
+            todo.append(states)
+            flags[at] = EXACT if any(e == 0 and n in whole[0] for n, e in states) else FUZZY if any(e == 1 and n in whole[1] for n, e in states) else NEAR_STEM if _FOUND in states else 0
+        return number[states]
+
+    place(begin)
     while todo:
         now = todo.pop()
-        row = []
-        for c in [None, *letters]:
-            new = step(now, c)
-            if not new:
-                row.append(0)
-            elif any(e == 0 and n in stem for n, e in new):
-                row.append(2)
-            else:
-                if new not in number:
-                    number[new] = len(number) + 2
-                    todo.append(new)
-                    ends = {(n in whole, e) for n, e in new}
-                    flags[number[new]] = EXACT if (True, 0) in ends else FUZZY if any(n in whole and n in near for n, e in new if e == 1) else 0
-                row.append(number[new])
-        table[number[now]] = row
-    n = len(number) + 2
-    return Automaton(np.array([table.get(i, [0] * (len(letters) + 1)) for i in range(n)], np.int32), np.array([flags.get(i, 0) for i in range(n)], np.uint8), by_byte)
+        row = [place(step(now, None))] * (len(letters) + 1)  # other letters all do the same
+        for c in {c for node, _ in now if node >= 0 for c in children[node]}:
+            row[number_of[c]] = place(step(now, c))
+        rows[number[now]] = row
+    n = max(flags) + 1
+    fixed = {2: [2] * (len(letters) + 1), 3: [3] * (len(letters) + 1)}
+    dead = [0] * (len(letters) + 1)
+    return Automaton(np.array([rows.get(i, fixed.get(i, dead)) for i in range(n)], np.int32), np.array([flags.get(i, 0) for i in range(n)], np.uint8), classes)
+
+
+def word_flags(at: Letters, auto: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each word is, and where it begins and ends without marks."""
+    a, b = at.trimmed()
+    flags = auto.match(at.points, a, b)
+    x, y, word = at.pieces()
+    open_ = (np.bincount(word, minlength=len(flags))[word] > 1) & (flags[word] == 0) if len(word) else np.zeros(0, bool)
+    inner = auto.match(at.points, x[open_], y[open_])
+    found = np.full(len(flags), 255, np.uint8)
+    np.minimum.at(found, word[open_][inner > 0], inner[inner > 0])
+    return np.where(found < 255, found, flags), a, b
 
 
 def hit_features(column, auto: Automaton) -> np.ndarray:
-    """Per text, the logs of one more than: exact, stem, misspelt hits as abuse, quoted hits, most hits within a window; and hits a hundred words."""
-    parts = []
+    """Per text, the logs of one more than: hits of each kind as abuse, quoted hits, most hits within a window; and hits a hundred words."""
+    parts, width = [], len(KINDS)
     for chunk in chunks(column):
-        starts, ends, firsts = chunk.words()
-        low = LOWER[chunk.buf]
-        a, b = starts.copy(), ends.copy()
-        for _ in range(4):  # marks around a word
-            a += (b > a) & TRIM[low[np.minimum(a, len(low) - 1)]] if len(low) else 0
-            b -= (b > a) & TRIM[low[np.maximum(b - 1, 0)]] if len(low) else 0
-        flags = auto.match(low, a, b)
-        hits = np.flatnonzero(flags)
+        at = Letters(chunk)
+        flags, a, b = word_flags(at, auto)
+        hits, firsts = np.flatnonzero(flags), at.firsts
         doc = np.searchsorted(firsts, hits, "right") - 1
-        out = np.zeros((len(chunk), 6))
+        out = np.zeros((len(chunk), FEATURES))
         quoted = np.zeros(len(hits), bool)
-        for k, h in enumerate(hits):
-            lo, hi = max(int(h) - SPAN, int(firsts[doc[k]])), min(int(h) + SPAN + 1, int(firsts[doc[k] + 1]))
-            before, after = bytes(chunk.buf[starts[lo] : a[h]]), bytes(chunk.buf[b[h] : ends[hi - 1]])
-            marks = [before.count(q) for q in (b'"', "“".encode(), "«".encode(), "„".encode())]
-            closing = [after.count(q) for q in (b'"', "”".encode(), "»".encode(), "“".encode())]
+        for k, h in enumerate(hits.tolist()):
+            lo, hi = max(h - SPAN, int(firsts[doc[k]])), min(h + SPAN + 1, int(firsts[doc[k] + 1]))
+            before, after = at.text[at.starts[lo] : a[h]], at.text[b[h] : at.ends[hi - 1]]
+            marks, closing = [before.count(q) for q in '"“«„'], [after.count(q) for q in '"”»“']
             inside = any(x % 2 if i == 0 else x for i, x in enumerate(marks)) and any(closing)
-            quoted[k] = inside or bool(REPORTING & {w.strip(".,:;!?\"'") for w in before.decode("utf-8", "ignore").lower().split()[-3:]})
-        for column_no, kind in enumerate((EXACT, STEM, FUZZY)):
+            quoted[k] = inside or bool(REPORTING & {w.strip(".,:;!?\"'") for w in before.lower().split()[-3:]})
+        for column_no, kind in enumerate(KINDS):
             out[:, column_no] = np.bincount(doc[(flags[hits] == kind) & ~quoted], minlength=len(chunk))
-        out[:, 3] = np.bincount(doc[quoted], minlength=len(chunk))
+        out[:, width] = np.bincount(doc[quoted], minlength=len(chunk))
         near = np.searchsorted(hits, hits + 10, "right") - np.arange(len(hits))
         for d in range(1, 11):  # hits of the next document don't count
             if len(hits) > d:
                 near[:-d] -= (doc[d:] != doc[:-d]) & (hits[d:] - hits[:-d] <= 10)
-        np.maximum.at(out[:, 4], doc, near)
-        out[:, :5] = np.log1p(out[:, :5])
-        out[:, 5] = np.minimum(100 * np.bincount(doc, minlength=len(chunk)) / np.maximum(np.diff(firsts), 1), 100) / 10
+        np.maximum.at(out[:, width + 1], doc, near)
+        out[:, : width + 2] = np.log1p(out[:, : width + 2])
+        out[:, width + 2] = np.minimum(100 * np.bincount(doc, minlength=len(chunk)) / np.maximum(np.diff(firsts), 1), 100) / 10
         parts.append(out)
-    return np.concatenate(parts) if parts else np.zeros((0, 6))
+    return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+
+
+FEATURES = len(KINDS) + 3
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -231,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     y = np.array([r[1] for r in rows], float)
     if len(set(y)) < 2:
         share = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.5
-        return Model(auto, np.array([0.0] * 6 + [np.log(share / (1 - share))]), terms)
+        return Model(auto, np.array([0.0] * FEATURES + [np.log(share / (1 - share))]), terms)
     # the sample has as many of the rare class as the bound allows; the intercept is of the sample
     return Model(auto, logistic(np.array([r[2] for r in rows]), y), terms)
 

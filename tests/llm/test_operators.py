@@ -323,34 +323,60 @@ def test_rules_are_ordered_by_rejections_per_cost(prose):
 # 7
 
 
-def test_automaton_is_the_edit_distance(prose):
-    terms = [("idiot", False, 9.0), ("worthless", False, 8.0), ("lowei", True, 7.0), ("scum", False, 6.0)]
-    auto = toxicity.compile_automaton(terms)
+def distances(a, b):
+    """Edit distances of ``b`` and each beginning of ``a``."""
+    column = list(range(len(b) + 1))
+    out = [column[-1]]
+    for i, x in enumerate(a, 1):
+        last, column = column, [i]
+        for j, y in enumerate(b, 1):
+            column.append(min(last[j] + 1, column[-1] + 1, last[j - 1] + (x != y)))
+        out.append(column[-1])
+    return out
+
+
+def letters(words):
+    ends = np.cumsum([len(w) for w in words])
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), ends - [len(w) for w in words], ends
+
+
+def test_automaton_is_the_edit_distance():
+    whole, stems = ["idiot", "worthless", "scum", "crétin", "lowexyz"], ["lowe", "ünding"]
+    auto = toxicity.compile_automaton([(t, False, 9.0) for t in whole] + [(t, True, 7.0) for t in stems])
     rng = random.Random(2)
-    words = ["idiot", "idiots", "xidiot", "idoit", "iidiot", "diot", "id1ot", "worthles", "worthlss", "wrthless", "scum", "scums", "loweischaft", "lowe", "", "a"]
-    words += ["".join(rng.choice("idotwrhlesu") for _ in range(rng.randint(3, 9))) for _ in range(300)]
-    for w, _ in [(t, 0) for t in ("idiot", "worthless")]:
-        for _ in range(200):
-            x = list(w)
-            for _ in range(rng.randint(1, 2)):
-                k = rng.randrange(len(x) + 1)
-                x[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "i", "t"])
-            words.append("".join(x))
-
-    def dist(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    data = [w.encode() for w in words]
-    ends = np.cumsum([len(d) for d in data])
-    flags = auto.match(np.frombuffer(b"".join(data), np.uint8), ends - [len(d) for d in data], ends)
-    for w, f in zip(words, flags, strict=True):
-        want = toxicity.STEM if w.startswith("lowei") else toxicity.EXACT if w in ("idiot", "worthless", "scum") else toxicity.FUZZY if min(dist(w, "idiot"), dist(w, "worthless")) <= 1 else 0
+    words = ["idiot", "idiots", "xidiot", "idoit", "iidiot", "diot", "id1ot", "idiöt", "worthles", "wrthless", "scum", "scums", "loweischaft", "lowe", "", "a", "cretin", "crêtin", "crtin", "undinglich", "ündnglich", "ündin", "üding"]
+    words += ["".join(rng.choice("idotwrhlesuünéct") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    for w in [*whole, *stems] * 150:
+        x = list(w + "".join(rng.choice("abc") for _ in range(rng.choice((0, 0, 3)))))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(x) + 1)
+            x[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "ü", "t"])
+        words.append("".join(x))
+    seen = set()
+    for w, f in zip(words, auto.match(*letters(words)), strict=True):
+        long_whole, long_stems = [t for t in whole if len(t) >= 5], [t for t in stems if len(t) >= 5]
+        want = toxicity.STEM if any(w.startswith(t) for t in stems) else toxicity.EXACT if w in whole else toxicity.FUZZY if any(distances(w, t)[-1] <= 1 for t in long_whole) else toxicity.NEAR_STEM if any(min(distances(w, t)) <= 1 for t in long_stems) else 0
         assert f == want, w
+        seen.add(int(f))
+    assert seen == {0, *toxicity.KINDS}
+
+
+def test_every_term_of_a_large_lexicon_has_edits():
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9))) for _ in range(400)})
+    auto = toxicity.compile_automaton([(t, i % 4 == 0, 5.0) for i, t in enumerate(terms)])
+    assert all(auto.match(*letters([t[0] + "z" + t[2:] for t in terms])) > 0) and all(auto.match(*letters(terms)) > 0)
+
+
+def test_words_of_toxicity_fold_case_and_lose_marks():
+    auto = toxicity.compile_automaton([("âne", False, 5.0), ("crétin", False, 5.0)])
+    texts = ["«ÂNE»", "quel CRÉTIN!", "l'âne,dit-il", "“Cretin”", "anne", "***", None]
+    found = []
+    for chunk in toxicity.chunks(pa.array(texts)):
+        at = toxicity.Letters(chunk)
+        flags = toxicity.word_flags(at, auto)[0]
+        found += [flags[at.firsts[i] : at.firsts[i + 1]].max(initial=0) for i in range(len(chunk))]
+    assert found == [toxicity.EXACT, toxicity.EXACT, toxicity.EXACT, toxicity.FUZZY, 0, 0, 0]
 
 
 def toxic_set(prose, n, seed):
@@ -377,7 +403,8 @@ def test_toxicity(spark, prose, odd, clash, empty, labels):
     model = toxicity.train(frame(spark, texts), lab)
     clean, fuzzy = prose(1, 99)[0], prose(1, 99)[0] + " you idi0t and w0rthless thing"
     x = toxicity.hit_features(pa.array([clean, fuzzy, 'he said "you idiot" to them', None]), model.automaton)
-    assert x[0].sum() == 0 and x[1, 2] > 0 and x[2, 3] > 0 and x[3].sum() == 0
+    quoted = len(toxicity.KINDS)
+    assert x[0].sum() == 0 and x[1, 2:quoted].sum() > 0 and x[2, quoted] > 0 and x[3].sum() == 0
     a = sorted((str(r.doc_id), r.score) for r in toxicity.toxicity_scores(odd, labels).collect())
     assert a == sorted((str(r.doc_id), r.score) for r in toxicity.toxicity_scores(clash, labels).collect()) and len(a) == 10
     assert toxicity.toxicity_scores(empty, labels).count() == 0

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .storage import Scratch, bounded_batches
+from .storage import Scratch, bounded_batches, highest
 from .text import U64, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100
@@ -56,8 +56,8 @@ def prefix_size(n: int) -> int:
     return n + 1 + (-NUM * n // DEN)
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Upper halves of hashes that several of some 10,000 neighbouring texts have, those of most such runs first, HOT_KEYS at most; they only order keys."""
+def _frequent(docs: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Upper halves of hashes that several of some 10,000 neighbouring texts have, those of most such runs first, some HOT_KEYS at most; they only order keys."""
     def often(parts):
         h = np.concatenate(parts)
         h.sort()
@@ -77,7 +77,9 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if parts:
             yield often(parts)
 
-    found = docs.select("text").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h").toArrow()
+    counts = scratch.keep(docs.select("text").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")))
+    found = highest(counts, "n", "h", HOT_KEYS).select("h").toArrow()
+    scratch.drop(counts)
     return np.sort(found.column(0).to_numpy().astype(np.uint32)) if found.num_rows else np.empty(0, np.uint32)
 
 
@@ -321,7 +323,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    hot = spark.sparkContext.broadcast(_frequent(docs))
+    hot = spark.sparkContext.broadcast(_frequent(docs, scratch))
     sketch = scratch.keep(docs.mapInArrow(_sketch(hot), f"doc_id {kind}, s long, n long, prefix binary, bits binary"))
     # keys of two different sets; copies that went through different tasks are the same row
     rows = sketch.where("prefix is not null").select("s", "prefix").mapInArrow(_explode, "key long, s long")

@@ -13,10 +13,9 @@ ones, which counts from its first line and is reported where none of its lines
 has the family itself. All with a gram that the model knows are classified; no others can have a family.
 The corpus's sample leaves out paragraphs that resemble a template.
 
-Most texts are let go without scoring by a bound on the fitted weights: words are
-weak if all grams made of them, taken together, can't lift any family above unknown, so a
-paragraph without another known word is unknown whatever it holds. The words that are
-commonest in the sample are weak first. The bound changes no result.
+Words that more than one in fifty of the sample's paragraphs have are no features, unless
+they name a family, nor are pairs of two such words; they only count in the comparison with templates. So a text
+without a word that the model knows has no paragraph to classify, and is let go before its lines are cut.
 
 Defined cases: null and empty texts have no paragraphs of interest; repeated
 rows and lines are reported one by one; an empty table gives an empty result;
@@ -73,7 +72,8 @@ def fit(negatives: list[str], epochs: int = 300, ridge: float = 2e-3) -> tuple[d
             g = py_grams(notice)
             rows += [(g, k)] * 4 + [(py_grams(notice + " " + SPEAKING_OF[len(rows) % len(SPEAKING_OF)]), k)]
     rows += [(py_grams(x), 0) for x in [*SPEAKING_OF * 3, *negatives] if x]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for r, k in rows if k for g in r}))}
+    common = common_words(negatives)
+    vocabulary = {g: i for i, g in enumerate(sorted({g for r, k in rows if k for g in r if not common.issuperset(g.split())}))}
     x, y = np.zeros((len(rows), len(vocabulary))), np.array([k for _, k in rows])
     for i, (r, _) in enumerate(rows):
         x[i, [vocabulary[g] for g in r if g in vocabulary]] = 1
@@ -107,18 +107,10 @@ def _template(notice: str) -> list[str]:
     return sorted({w for w in re.split("[^a-z0-9]+", notice.lower()) if w and not w.isdigit()})
 
 
-def strong_words(weights: dict[str, list[float]], bias: list[float], common: list[str]) -> list[str]:
-    """Known words of which a paragraph needs one to be of a family; ``common`` words are tried first for those that aren't."""
-    lift = {g: np.maximum(np.array(w[1:]) - w[0], 0) for g, w in weights.items()}
-    pairs = {g: g.split() for g in lift if " " in g}
-    words = sorted((g for g in lift if " " not in g), key=lambda g: (common.index(g) if g in common else len(common), lift[g].max(), g))
-    room, sums, weak = 0.999 * (bias[0] - np.array(bias[1:])), np.zeros(len(bias) - 1), set()
-    for word in words:
-        more = sums + lift[word] + sum((lift[g] for g, parts in pairs.items() if word in parts and weak.issuperset(set(parts) - {word})), np.zeros(len(sums)))
-        if (more < room).all():
-            sums = more
-            weak.add(word)
-    return [w for w in words if w not in weak]
+def common_words(negatives: list[str], share: float = 0.02) -> set[str]:
+    """Words that more than this share of the paragraphs have, and three at least, but for the families' names."""
+    counts = Counter(g for x in negatives for g in py_grams(x) if " " not in g)
+    return {w for w, n in counts.items() if n > max(share * len(negatives), 2)} - set(NOTICES)
 
 
 def paragraphs(docs: DataFrame, *columns) -> DataFrame:
@@ -146,16 +138,16 @@ def sample_paragraphs(docs: DataFrame, n_docs: int, n: int, same: float = 0.6) -
 def scan_licenses(docs: DataFrame, sure: float = 0.5, same: float = 0.6, n_docs: int = 64, n_negatives: int = 400) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of each paragraph with a licence; paragraphs count from 0."""
     spark = docs.sparkSession
-    negatives = sample_paragraphs(docs, n_docs, n_negatives, same)
-    weights, bias, temperature, classes = fit(negatives)
-    common = [w for w, _ in Counter(g for x in negatives for g in py_grams(x) if " " not in g).most_common(256)]
-    strong = F.array(*map(F.lit, strong_words(weights, bias, common)))
+    weights, bias, temperature, classes = fit(sample_paragraphs(docs, n_docs, n_negatives, same))
+    known = F.array(*(F.lit(g) for g in weights if " " not in g))
+    templates = [(k, _template(x)) for k, v in NOTICES.items() for x in v]
+    uncounted = {w for _, t in templates for w in t} - set(weights)
     # both tables are as large as the notices above, whatever the corpus
-    table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")
-    notices = spark.createDataFrame([(k, _template(x)) for k, v in NOTICES.items() for x in v], "family string, template array<string>")
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), strong))
+    table = spark.createDataFrame([*weights.items(), *((w, [0.0] * len(classes)) for w in sorted(uncounted))], "gram string, w array<double>")
+    notices = spark.createDataFrame(templates, "family string, template array<string>")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), known))
     lines = paragraphs(rows, "doc_id", "row").select("doc_id", "row", "paragraph", "last", _words(F.col("line")).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", strong))
+    lines = lines.where(F.arrays_overlap("words", known))
     found = lines.select("doc_id", "row", "paragraph", "last", F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram")
     # the words of a template are all among the known grams
     sums = found.groupBy("row", "paragraph", "last").agg(F.first("doc_id").alias("doc_id"), F.collect_list("gram").alias("words"), *(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))))

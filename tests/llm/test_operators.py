@@ -195,17 +195,22 @@ def test_licences_without_a_keyword_and_over_lines(spark, prose):
     assert sorted((r.paragraph, r["last"], r.line) for r in pieces) == [(0, 0, "a"), (0, 1, "a\nb"), (1, 1, "b"), (3, 3, "c"), (5, 5, "d"), (5, 6, "d\ne"), (6, 6, "e")]
 
 
-def test_bound_on_weights_changes_nothing(spark, prose, monkeypatch):
+def test_licences_of_lines_are_those_of_the_model(spark, prose):
     rng, known = random.Random(5), sorted({g for v in license_scan.NOTICES.values() for x in v for g in license_scan.py_grams(x) if " " not in g})
     notices = [x for v in license_scan.NOTICES.values() for x in v]
     texts = prose(20, 3) + [" ".join(rng.sample(known, rng.randint(1, 40))) for _ in range(150)]
-    texts += [" ".join(w for w in rng.choice(notices).split() if rng.random() < 0.6) + "\n" + rng.choice(notices)[: rng.randint(1, 60)] for _ in range(150)]
-    got = sorted(map(str, license_scan.scan_licenses(frame(spark, texts)).collect()))
-    weights, bias, _, _ = license_scan.fit(license_scan.sample_paragraphs(frame(spark, texts), 64, 400))
-    strong = license_scan.strong_words(weights, bias, ["the", "of", "is"])
-    assert {"the", "of", "is"}.isdisjoint(strong) and {"apache", "gpl"} <= set(strong)
-    monkeypatch.setattr(license_scan, "strong_words", lambda weights, bias, common: [g for g in weights if " " not in g])
-    assert len(got) > 50 and got == sorted(map(str, license_scan.scan_licenses(frame(spark, texts)).collect()))
+    texts += [" ".join(w for w in rng.choice(notices).split() if rng.random() < 0.6) for _ in range(150)]
+    weights, bias, temperature, classes = license_scan.fit(license_scan.sample_paragraphs(frame(spark, texts), 64, 400))
+    assert {"the", "of"}.isdisjoint(weights) and {"apache", "gpl"} <= set(weights)
+    want = {}
+    for i, t in enumerate(texts):
+        own = [weights[g] for g in license_scan.py_grams(t) if g in weights]
+        p = license_scan.softmax((np.array([bias]) + sum(map(np.array, own), np.zeros(len(bias)))) / temperature)[0]
+        if own and p.argmax() and p.max() >= 0.5:
+            want[i] = (classes[p.argmax()], p.max())
+    got = {r.doc_id: (r.family, r.probability) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert len(want) > 50 and {i: f for i, (f, _) in got.items()} == {i: f for i, (f, _) in want.items()}
+    assert [got[i][1] for i in sorted(got)] == pytest.approx([want[i][1] for i in sorted(want)])
 
 
 # 4

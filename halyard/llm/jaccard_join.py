@@ -45,6 +45,7 @@ TILE = 1024
 HOT_IN_RUN = 3
 RUN_SHINGLES = 5_000_000
 HOT_KEYS = 500_000
+SALTS = 1024
 
 
 def need(a, b):
@@ -222,11 +223,11 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _sketch(hot):
-    """(doc_id, s, n, prefix, bits): set id, size, keys and bitmap; texts with a set that the task has seen carry no keys again."""
+    """(doc_id, s, n, prefix, rare, bits): set id, size, keys, how many of them come first as rare ones, and bitmap; texts with a set that the task has seen carry no keys again."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            ids, sizes, keys, maps = [], [], [], []
+            ids, sizes, keys, rare, maps = [], [], [], [], []
             if len(seen) > 1_000_000:  # only spares work
                 seen.clear()
             rank = hot.value
@@ -235,29 +236,34 @@ def _sketch(hot):
                     sid = set_id(s)
                     ids.append(sid)
                     sizes.append(len(s))
+                    rare.append(0)
                     if not len(s) or sid in seen:
                         keys.append(None)
                         maps.append(None)
                         continue
                     maps.append(bitmap(s, bitmap_bits(len(s))).tobytes())
                     seen.add(sid)
-                    p = prefix_size(len(s))
+                    p, first = prefix_size(len(s)), s
                     if len(rank):
                         half = (s >> U64(32)).astype(np.uint32)
                         often = rank[np.minimum(np.searchsorted(rank, half), len(rank) - 1)] == half
-                        first = s[~often][:p]
-                        s = np.concatenate([first, s[often][: p - len(first)]])
+                        first = s[~often]
+                        s = np.concatenate([first[:p], s[often][: max(p - len(first), 0)]])
                     keys.append(s[:p].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "s", "n", "prefix", "bits"])
+                    rare[-1] = min(p, len(first))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rare, pa.int32()), pa.array(maps, pa.binary())], names=["doc_id", "s", "n", "prefix", "rare", "bits"])
     return run
 
 
 def _explode(batches):
+    """(key, salt, s) of (s, prefix, rare): frequent keys have salts of 1 or more, others 0."""
     for b in batches:
         keys = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
-        sizes = [len(k) for k in keys]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), sizes))], names=["key", "s"])
+        sizes = np.array([len(k) for k in keys], np.int64)
+        if sizes.sum():
+            s, place = np.repeat(b.column(0).to_numpy(), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            salt = np.where(place < np.repeat(b.column(2).to_numpy(), sizes), 0, 1 + (s & (SALTS - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(salt), pa.array(s)], names=["key", "salt", "s"])
 
 
 def _arrays(batches):
@@ -324,11 +330,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     hot = spark.sparkContext.broadcast(_frequent(docs, scratch))
-    sketch = scratch.keep(docs.mapInArrow(_sketch(hot), f"doc_id {kind}, s long, n long, prefix binary, bits binary"))
-    # keys of two different sets; copies that went through different tasks are the same row
-    rows = sketch.where("prefix is not null").select("s", "prefix").mapInArrow(_explode, "key long, s long")
-    spread = rows.selectExpr("key", "s", "min(s) over (partition by key) lo", "max(s) over (partition by key) hi").where("lo != hi")
-    shared = scratch.keep(spread.select("key", "s").distinct())
+    sketch = scratch.keep(docs.mapInArrow(_sketch(hot), f"doc_id {kind}, s long, n long, prefix binary, rare int, bits binary"))
+    # keys of two different sets, and all frequent keys, whose rows would be too many for one task; copies that went through different tasks are the same row
+    rows = sketch.where("prefix is not null").select("s", "prefix", "rare").mapInArrow(_explode, "key long, salt long, s long")
+    spread = rows.selectExpr("key", "salt", "s", "min(s) over (partition by key, salt) lo", "max(s) over (partition by key, salt) hi").where("salt > 0 or lo != hi")
+    shared = scratch.keep(spread.select("key", "salt", "s").distinct().drop("salt"))
     # of keys with the same classes one is enough
     same = shared.groupBy("key").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(s))").alias("x"), F.expr("bit_xor(xxhash64(s, 1))").alias("y"))
     keys = same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
@@ -372,14 +378,19 @@ def _grouped(docs: DataFrame) -> DataFrame:
         found = scratch.keep(found.unionByName(more))
         comp = scratch.keep(connected(found, scratch))
     placed = home.join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "home", F.coalesce("c", "s").alias("c"))
-    housed = shared.join(placed, "s")
-    tiles = housed.groupBy("key", F.col("home").alias("tile")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    placed_keys = scratch.keep(shared.join(placed, "s"))
+    # a key's largest component doesn't visit the tiles that hold nothing else, and a key of one component only is done with
+    main = placed_keys.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    housed = placed_keys.join(main.drop("parts"), "key")
+    tiles = housed.groupBy("key", F.col("home").alias("tile"), "main").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    tiles = tiles.withColumn("pure", (F.col("c_lo") == F.col("main")) & (F.col("c_hi") == F.col("main"))).drop("main")
+    housed = housed.withColumn("pure", F.explode(F.when(F.col("c") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     meets = (F.col("tile") < F.col("home")) & (NUM * F.col("n") <= DEN * F.col("most")) & (DEN * F.col("n") >= NUM * F.col("least")) & ((F.col("c_lo") != F.col("c")) | (F.col("c_hi") != F.col("c")))
-    visits = scratch.keep(housed.join(tiles, "key").where(meets).select("tile", "s", "n", "c").distinct())
+    visits = scratch.keep(housed.join(tiles, ["key", "pure"]).where(meets).select("tile", "s", "n", "c").distinct())
     hosts = placed.join(home.select("s", "n"), "s").join(visits.select(F.col("tile").alias("home")).distinct(), "home", "left_semi")
     where = scratch.keep(hosts.select("s", "n", F.col("home").alias("tile"), F.lit(False).alias("visitor"), "c").unionByName(visits.select("s", "n", "tile", F.lit(True).alias("visitor"), "c")))
     found = scratch.keep(found.unionByName(links(where)))
-    for done in (bits, where, visits, home, shared):
+    for done in (bits, where, visits, home, shared, placed_keys):
         scratch.drop(done)
     comp = connected(found, scratch)
     least = reps.select("s", F.col("doc_id").alias("d")).join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))

@@ -380,13 +380,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
     placed = home.join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "home", F.coalesce("c", "s").alias("c"))
     placed_keys = scratch.keep(shared.join(placed, "s"))
     # a key's largest component doesn't visit the tiles that hold nothing else, and a key of one component only is done with
-    main = placed_keys.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    housed = placed_keys.join(main.drop("parts"), "key")
-    tiles = housed.groupBy("key", F.col("home").alias("tile"), "main").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    tiles = tiles.withColumn("pure", (F.col("c_lo") == F.col("main")) & (F.col("c_hi") == F.col("main"))).drop("main")
-    housed = housed.withColumn("pure", F.explode(F.when(F.col("c") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    fan = F.ceil(F.col("k") / TILE)  # keys of many classes are dealt to as many tasks as they fill tiles
+    main = placed_keys.groupBy("key", "k", "c").agg(F.count("*").alias("size")).groupBy("key", "k").agg(F.max(F.struct("size", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    salts = lambda: F.sequence(F.lit(0).cast("long"), fan - 1)
+    housed = placed_keys.withColumn("salt", F.pmod(F.xxhash64("s", F.lit(2)), fan)).join(main.select("key", "main", F.explode(salts()).alias("salt")), ["key", "salt"])
+    tiles = housed.groupBy("key", "k", F.col("home").alias("tile"), "main").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    tiles = tiles.withColumn("pure", (F.col("c_lo") == F.col("main")) & (F.col("c_hi") == F.col("main")))
+    tiles = tiles.select("key", "tile", "least", "most", "c_lo", "c_hi", "pure", F.explode(F.when(F.col("pure"), F.array(F.lit(0).cast("long"))).otherwise(salts())).alias("salt"))
+    own, other = F.struct(F.lit(False).alias("pure"), F.col("salt").alias("salt")), F.struct(F.lit(True).alias("pure"), F.lit(0).cast("long").alias("salt"))
+    housed = housed.select("key", "s", "n", "home", "c", F.inline(F.when(F.col("c") == F.col("main"), F.array(own)).otherwise(F.array(own, other))))
     meets = (F.col("tile") < F.col("home")) & (NUM * F.col("n") <= DEN * F.col("most")) & (DEN * F.col("n") >= NUM * F.col("least")) & ((F.col("c_lo") != F.col("c")) | (F.col("c_hi") != F.col("c")))
-    visits = scratch.keep(housed.join(tiles, ["key", "pure"]).where(meets).select("tile", "s", "n", "c").distinct())
+    visits = scratch.keep(housed.join(tiles, ["key", "pure", "salt"]).where(meets).select("tile", "s", "n", "c").distinct())
     hosts = placed.join(home.select("s", "n"), "s").join(visits.select(F.col("tile").alias("home")).distinct(), "home", "left_semi")
     where = scratch.keep(hosts.select("s", "n", F.col("home").alias("tile"), F.lit(False).alias("visitor"), "c").unionByName(visits.select("s", "n", "tile", F.lit(True).alias("visitor"), "c")))
     found = scratch.keep(found.unionByName(links(where)))

@@ -381,16 +381,20 @@ def _grouped(docs: DataFrame) -> DataFrame:
     placed_keys = scratch.keep(shared.join(placed, "s"))
     # a key's largest component doesn't visit the tiles that hold nothing else, and a key of one component only is done with
     main = placed_keys.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    housed = placed_keys.join(main.drop("parts"), "key")
+    # both kept: no aggregate stands between the shuffles by key and the joins, so that Spark can split a key of many classes over tasks
+    main = scratch.keep(main.drop("parts"))
+    housed = scratch.keep(placed_keys.join(main, "key"))
+    for done in (placed_keys, main):
+        scratch.drop(done)
     tiles = housed.groupBy("key", F.col("home").alias("tile"), "main").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
     tiles = tiles.withColumn("pure", (F.col("c_lo") == F.col("main")) & (F.col("c_hi") == F.col("main"))).drop("main")
-    housed = housed.withColumn("pure", F.explode(F.when(F.col("c") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    callers = housed.withColumn("pure", F.explode(F.when(F.col("c") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     meets = (F.col("tile") < F.col("home")) & (NUM * F.col("n") <= DEN * F.col("most")) & (DEN * F.col("n") >= NUM * F.col("least")) & ((F.col("c_lo") != F.col("c")) | (F.col("c_hi") != F.col("c")))
-    visits = scratch.keep(housed.join(tiles, ["key", "pure"]).where(meets).select("tile", "s", "n", "c").distinct())
+    visits = scratch.keep(callers.join(tiles, ["key", "pure"]).where(meets).select("tile", "s", "n", "c").distinct())
     hosts = placed.join(home.select("s", "n"), "s").join(visits.select(F.col("tile").alias("home")).distinct(), "home", "left_semi")
     where = scratch.keep(hosts.select("s", "n", F.col("home").alias("tile"), F.lit(False).alias("visitor"), "c").unionByName(visits.select("s", "n", "tile", F.lit(True).alias("visitor"), "c")))
     found = scratch.keep(found.unionByName(links(where)))
-    for done in (bits, where, visits, home, shared, placed_keys):
+    for done in (bits, where, visits, home, shared, housed):
         scratch.drop(done)
     comp = connected(found, scratch)
     least = reps.select("s", F.col("doc_id").alias("d")).join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from halyard.operators.graphs import connected
+
 from .storage import Scratch, bounded_batches, highest
 from .text import U64, chunks, mix, shingle_sets
 
@@ -287,32 +289,6 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(1)], names=["s", "text"])
 
 
-def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, c): the least node of each node's component, for nodes with an edge.
-
-    Alternating large-star and small-star steps, each an aggregation by node
-    over the edges, written to the shared folder; no group is collected.
-    """
-    state = lambda df: df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
-    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    now = state(e)
-    while now[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        new = scratch.keep(small)
-        before, now = now, state(new)
-        scratch.drop(e)
-        e = new
-        if now == before:  # the same edges: every one leads to its component's least node
-            break
-    roots = e.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
-    return e.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("c"))
-
-
 #: Ids of texts to fetch are broadcast up to this count (16 bytes each), beyond it the texts are joined by shuffle.
 FETCH = 1_000_000
 

@@ -1,23 +1,13 @@
-"""Intermediate tables in the folder that every executor shares."""
+"""Bounds on what is taken from tables at once; the tables in the shared folder are halyard.storage's."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where unset (tests), a new temporary one, set for the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="halyard-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
+from halyard.storage import Scratch  # noqa: F401
 
 #: Rows that Arrow hands to Python at once, at most; with texts of a few kilobytes these are a few megabytes.
 BATCH_ROWS = 2048
@@ -46,33 +36,3 @@ def highest(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
         left -= r["count"]
     part = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < math.floor(share * (1 << 20))
     return df.where((step > least) | (step == least) & part)
-
-
-class Scratch:
-    """Tables of one operator run, written to the shared folder and read back without their lineage."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/halyard-{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        self._paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that ``keep`` returned and nothing later reads."""
-        self._delete(self._paths.pop(id(df)))
-
-    def clear(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

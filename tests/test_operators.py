@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -153,6 +154,41 @@ def test_geo(spark):
     assert clusters[1] == clusters[2] == clusters[3] == 2 and clusters[4] is None
 
 
+def brute_dbscan(rows, radius_m, least):
+    """The sorted (id, cluster) of rows (id, lat, lon), each a point, by lists."""
+    def near(p, q):
+        if None in p or None in q:
+            return False
+        a = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * geo.RADIUS_M * math.asin(math.sqrt(min(a, 1.0))) <= radius_m
+
+    reach = [[j for j, q in enumerate(rows) if near(p, q)] for p in rows]
+    core = {i for i, js in enumerate(reach) if len(js) >= least}
+    label = {}
+    for i in sorted(core, key=lambda i: rows[i][0]):
+        todo = [] if i in label else [i]
+        while todo:
+            k = todo.pop()
+            if k not in label:
+                label[k] = rows[i][0]
+                todo += [j for j in reach[k] if j in core]
+    return sorted((r[0], min((label[j] for j in js if j in core), default=-1)) for r, js in zip(rows, reach, strict=True))
+
+
+def test_dbscan_of_long_chains_and_copies(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10_000), 284)
+    rows = [(ids.pop(), 4 + k * 0.001, -74.0) for k in range(200) if k != 120]  # some 111 m apart, with one gap
+    rows += [(ids.pop(), 6 + rng.randrange(20) / 1000, -74 + rng.randrange(20) / 1000) for _ in range(80)]
+    rows += [(ids.pop(), 7.0, -75.0) for _ in range(5)]
+    rng.shuffle(rows)
+    for odd in ([], [(20_000, None, -74.0), (20_001, 4.0, None), (20_002, None, None), *rows[:40]]):  # unknown places are noise; every row is a point
+        found = geo.dbscan(spark.createDataFrame(rows + odd, "id long, lat double, lon double"), 150, 3).collect()
+        got = sorted((r.id, -1 if r.cluster is None else r.cluster) for r in found)
+        assert got == brute_dbscan(rows + odd, 150, 3)
+        assert len({c for _, c in got}) > 4 and -1 in {c for _, c in got}
+
+
 def test_outbox(spark):
     now = dt.datetime(2024, 1, 1)
     box = spark.createDataFrame([(1, "PENDING", 0, None, None, now), (2, "FAILED", 2, now - dt.timedelta(1), None, now), (3, "FAILED", 5, None, None, now), (4, "PROCESSING", 0, None, now - dt.timedelta(1), now)], "event_id int, status string, retry_count int, retry_at timestamp, claimed_at timestamp, created_at timestamp")

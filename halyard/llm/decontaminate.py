@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, bounded_batches
+from .storage import Scratch, bounded_batches, sparing
 from .text import COEF, U64, chunks, mix, span_hashes, windows
 
 K = 5
@@ -218,7 +218,7 @@ def _group_hits(docs: DataFrame, part: list, schema: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(sparing(run), schema)
 
 
 #: Ids of contaminated documents are broadcast up to this count (8 bytes each), beyond it the documents are joined by shuffle.

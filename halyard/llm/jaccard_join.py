@@ -39,7 +39,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from halyard.operators.graphs import connected
 
-from .storage import Scratch, bounded_batches, highest
+from .storage import Scratch, bounded_batches, highest, sparing
 from .text import U64, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100
@@ -80,7 +80,7 @@ def _frequent(docs: DataFrame, scratch: Scratch) -> np.ndarray:
         if parts:
             yield often(parts)
 
-    counts = scratch.keep(docs.select("text").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")))
+    counts = scratch.keep(docs.select("text").mapInArrow(sparing(count), "h long").groupBy("h").agg(F.count("*").alias("n")))
     found = highest(counts, "n", "h", HOT_KEYS).select("h").toArrow()
     scratch.drop(counts)
     return np.sort(found.column(0).to_numpy().astype(np.uint32)) if found.num_rows else np.empty(0, np.uint32)
@@ -306,9 +306,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     hot = spark.sparkContext.broadcast(_frequent(docs, scratch))
-    sketch = scratch.keep(docs.mapInArrow(_sketch(hot), f"doc_id {kind}, s long, n long, prefix binary, rare int, bits binary"))
+    sketch = scratch.keep(docs.mapInArrow(sparing(_sketch(hot)), f"doc_id {kind}, s long, n long, prefix binary, rare int, bits binary"))
     # keys of two different sets, and all frequent keys, whose rows would be too many for one task; copies that went through different tasks are the same row
-    rows = sketch.where("prefix is not null").select("s", "prefix", "rare").mapInArrow(_explode, "key long, salt long, s long")
+    rows = sketch.where("prefix is not null").select("s", "prefix", "rare").mapInArrow(sparing(_explode), "key long, salt long, s long")
     spread = rows.selectExpr("key", "salt", "s", "min(s) over (partition by key, salt) lo", "max(s) over (partition by key, salt) hi").where("salt > 0 or lo != hi")
     shared = scratch.keep(spread.select("key", "salt", "s").distinct().drop("salt"))
     # of keys with the same classes one is enough
@@ -317,25 +317,26 @@ def _grouped(docs: DataFrame) -> DataFrame:
     members = scratch.keep(sketch.select("doc_id", "s", "n"))
     reps = members.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nameless = bool(reps.where("doc_id is null").limit(1).count()) if members.where("doc_id is null").limit(1).count() else False
-    shared = scratch.keep(shared.join(keys, "key").join(reps.select("s", "n"), "s"))
+    shared = scratch.keep(shared.join(keys, "key").join(reps.select("s", "n"), "s"), shared.count())
+    n_shared = shared.count()
     pick = shared.groupBy("s", "n").agg(F.max(F.struct("k", "key")).alias("top")).select("s", "n", "top.key", "top.k")
     bits = scratch.keep(sketch.where("bits is not null").select("s", "bits").join(pick.select("s"), "s", "left_semi").dropDuplicates(["s"]))
     scratch.drop(sketch)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
-    home = scratch.keep(pick.select("s", "n", F.xxhash64("key", band).alias("group"), F.xxhash64("key", band, F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / TILE))).alias("home")))
+    home = scratch.keep(pick.select("s", "n", F.xxhash64("key", band).alias("group"), F.xxhash64("key", band, F.pmod(F.xxhash64("s"), F.ceil(F.col("k") / TILE))).alias("home")), n_shared)
     order = ["tile", "visitor", "n", "s"]
 
     def links(where: DataFrame) -> DataFrame:
         """Spanning links of the tiles' residents with each other and with their visitors: bounds first, then sets."""
-        hits = scratch.keep(where.join(bits, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=False), "tile long, s long"))
-        wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"))
+        hits = scratch.keep(where.join(bits, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(sparing(_tiles(exact=False)), "tile long, s long"))
+        wanted = scratch.keep(reps.join(hits.select("s").distinct(), "s").select("doc_id", "s"), hits.count())
         fetch = F.broadcast(wanted) if wanted.count() <= FETCH else wanted
         texts = docs.join(fetch, "doc_id").select("s", "text")
         if nameless:  # classes without any id are fetched by the set itself
-            own = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(_classes, "s long, text string")
+            own = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(sparing(_classes), "s long, text string")
             texts = texts.unionByName(own.join(wanted.where("doc_id is null").select("s"), "s", "left_semi").dropDuplicates(["s"]))
-        arrays = scratch.keep(texts.mapInArrow(_arrays, "s long, shingles binary"))
-        out = scratch.keep(where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(_tiles(exact=True), "a long, b long"))
+        arrays = scratch.keep(texts.mapInArrow(sparing(_arrays), "s long, shingles binary"))
+        out = scratch.keep(where.join(hits, ["tile", "s"]).join(arrays, "s").repartition("tile").sortWithinPartitions(*order).mapInArrow(sparing(_tiles(exact=True)), "a long, b long"))
         for done in (arrays, wanted, hits):
             scratch.drop(done)
         return out
@@ -354,11 +355,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
         found = scratch.keep(found.unionByName(more))
         comp = scratch.keep(connected(found, scratch))
     placed = home.join(comp.withColumnRenamed("v", "s"), "s", "left").select("s", "home", F.coalesce("c", "s").alias("c"))
-    placed_keys = scratch.keep(shared.join(placed, "s"))
+    placed_keys = scratch.keep(shared.join(placed, "s"), n_shared)
     # a key's largest component doesn't visit the tiles that hold nothing else, and a key of one component only is done with
     main = placed_keys.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     # both kept: no aggregate stands between the shuffles by key and the joins, so that Spark can split a key of many classes over tasks
-    main = scratch.keep(main.drop("parts"))
+    main = scratch.keep(main.drop("parts"), n_shared)
     housed = scratch.keep(placed_keys.join(main, "key"))
     for done in (placed_keys, main):
         scratch.drop(done)
@@ -404,6 +405,6 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], names=[*names, "_set"])
 
     bounded_batches(docs.sparkSession)
-    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    tagged = docs.mapInArrow(sparing(tag), StructType([*docs.schema.fields, StructField("_set", LongType())]))
     own = scratch.keep(tagged.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_set") == F.col("_of")), "left_semi"))
     return own.where("doc_id is not null").dropDuplicates(["doc_id", "_set"]).unionByName(own.where("doc_id is null")).drop("_set")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_sample
+from .storage import sparing
 from .text import U64, chunks, mix, span_hashes, windows
 
 BITS = 18
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "y", "f"])
 
     use = ~held_out() if use is None else use
-    got = training_sample(docs, labels, label, per_class, use).select("doc_id", "text", "y").mapInArrow(encode, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, f binary").toArrow()
+    got = training_sample(docs, labels, label, per_class, use).select("doc_id", "text", "y").mapInArrow(sparing(encode), f"doc_id {dict(docs.dtypes)['doc_id']}, y int, f binary").toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("y").to_pylist(), got.column("f").to_pylist(), strict=True))
     return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
 
@@ -166,7 +167,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
         for b in batches:
             yield b.filter(pa.array(shared.value.score(b.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 4000, threshold: float = 0.3) -> DataFrame:

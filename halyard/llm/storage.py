@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from halyard.storage import Scratch  # noqa: F401
 
 #: Rows that Arrow hands to Python at once, at most; with texts of a few kilobytes these are a few megabytes.
 BATCH_ROWS = 2048
+#: Bytes of batches after which a worker gives back what it has freed.
+FREED_AFTER = 1 << 22
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -21,6 +26,34 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns memory that is free, but kept by Arrow's and C's allocators, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def sparing(f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow, giving back memory after some batches and at the end: workers are kept for later tasks, idle beside a JVM that then needs the room."""
+    def run(batches):
+        def handed():
+            size = 0
+            for b in batches:
+                size += b.nbytes
+                yield b
+                del b
+                if size >= FREED_AFTER:
+                    give_back()
+                    size = 0
+        try:
+            yield from f(handed())
+        finally:
+            give_back()
+    return run
+
+
 def highest(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
     """About ``n`` rows with the greatest ``size``, a whole number above 0; fewer rows are all of them.
 

@@ -17,6 +17,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows that a task writes at least, where a bound on a narrow table's rows is known.
+TASK_ROWS = 1 << 16
+
+
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has ``rows`` rows at most, in no more tasks than these need."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder and read back without their lineage."""
 
@@ -26,10 +35,12 @@ class Scratch:
         self._n = 0
         self._paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: no more than these, if known; a task then writes several partitions of a few rows as one file."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        # whoever reads it holds what this returns, so no _SUCCESS file is needed
+        (df if rows is None else together(df, rows)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

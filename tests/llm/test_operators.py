@@ -539,6 +539,86 @@ def test_components(spark):
 # 9
 
 
+def test_components_write_few_files(spark):
+    from halyard.llm.storage import Scratch
+
+    class Counted(Scratch):
+        files = []
+
+        def keep(self, df, *rows):
+            out = super().keep(df, *rows)
+            self.files.append(len(out.inputFiles()))
+            return out
+
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        scratch = Counted(spark, "test")
+        comp = scratch.keep(jaccard_join.connected(spark.range(200).selectExpr("id a", "id + 1 b"), scratch))
+        assert {tuple(r) for r in comp.collect()} == {(i, 0) for i in range(201)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(Counted.files) > 3 and set(Counted.files[1:]) == {1}  # but for the first, whose edges aren't counted
+
+
+KEEPS = """
+import re, sys
+import numpy as np
+import pyarrow as pa
+from halyard.llm import jaccard_join, storage
+
+def resident():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+
+class Hot:
+    value = np.empty(0, np.uint32)
+
+def batches(n):
+    rng = np.random.default_rng(1)
+    for _ in range(n):
+        words = rng.integers(0, 10**6, 600_000).astype(str)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([" ".join(words[i : i + 600]) for i in range(0, 600_000, 600)])], names=["doc_id", "text"])
+
+f = jaccard_join._sketch(Hot)
+f = storage.sparing(f) if sys.argv[1] == "sparing" else f
+for _ in f(batches(1)):
+    pass
+storage.give_back()
+before = resident()
+for _ in f(batches(6)):
+    pass
+print(resident() - before)
+"""
+
+
+def test_idle_workers_give_memory_back():
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    if not os.path.exists("/proc/self/smaps_rollup") or "glibc" not in os.confstr("CS_GNU_LIBC_VERSION"):
+        pytest.skip("needs Linux and glibc")
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "OMP_NUM_THREADS": "1"}
+    kept = {how: int(subprocess.run([sys.executable, "-c", KEEPS, how], env=env, capture_output=True, text=True, check=True, timeout=120).stdout) for how in ("plain", "sparing")}
+    assert kept["sparing"] < 12 and kept["sparing"] < kept["plain"] / 2, kept
+
+
+def test_operators_of_the_pipeline_give_memory_back(spark, prose, labels, monkeypatch):
+    import corpus_pipeline
+
+    frame, handed = type(spark.range(0)), []
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: handed.append(f.__qualname__) or real(self, f, *a, **b))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(prose(40, 3) + prose(5, 3))], "doc_id long, text string, lang string, source string, n_chars long")
+    near = jaccard_join.distinct_documents(quality_cascade.quality_filtered(docs))
+    decontaminate.decontaminated(nbsvm.accepted(near, nbsvm.train(docs, labels), 0.0), spark.createDataFrame([(1, prose(1, 9)[0])], "item_id long, text string")).count()
+    assert corpus_pipeline.STAGES and len(handed) >= 8 and set(handed) == {"sparing.<locals>.run"}, handed
+
+
 def test_descent_solves_the_dual(prose):
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
